@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import limit_arrow_batches, written
-from .words import pieces
+from .words import WORDS_ONLY, hash_words, pieces, tokenize
 
-TERM = re.compile(r"\w+")
+TERM = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")  #: what tokenize() takes for words
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Settings:
 
 
 def terms(text: str | None) -> list[str]:
-    return TERM.findall((text or "").lower())
+    return TERM.findall(pc.utf8_lower(pa.scalar(text or "")).as_py())
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -82,11 +83,6 @@ def overlap(part: list[str], words: list[str], n: int) -> float:
     return len(own & {tuple(words[i : i + m]) for i in range(len(words) - m + 1)}) / len(own) if own else 1.0
 
 
-class Terms(dict):
-    def __missing__(self, term: str) -> int:
-        return -1
-
-
 class Index:
     def __init__(self, items: list[tuple[int, str]], s: Settings) -> None:
         self.s, self.parts, segments, self.item = s, {}, [], []
@@ -100,7 +96,12 @@ class Index:
                 self.item.append(item)
         n, df = len(segments), Counter(t for seg in segments for t in seg)
         mean = sum(sum(seg.values()) for seg in segments) / max(n, 1)
-        self.term = Terms((t, k) for k, t in enumerate(df))
+        self.term = {t: k for k, t in enumerate(df)}
+        found = hash_words(list(df), WORDS_ONLY)
+        self.term_order = np.argsort(found)
+        self.term_hashes = found[self.term_order]
+        self.may_be = np.zeros(1 << 20, bool)  # by the first bits of the hash
+        self.may_be[found >> np.uint64(44)] = True
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
         essential: list[list[tuple[int, float]]] = [[] for _ in self.term]
         self.least = np.zeros(n)  # what essential terms must bring
@@ -150,6 +151,15 @@ class Index:
         score = np.bincount(self.seg[k], self.impact[k], self.n)
         return [(int(d), float(score[d])) for d in np.flatnonzero(score >= least)]
 
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each term, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        at = np.flatnonzero(self.may_be[hashes >> np.uint64(44)])
+        k = np.minimum(np.searchsorted(self.term_hashes, hashes[at]), len(self.term_hashes) - 1)
+        same = self.term_hashes[k] == hashes[at] if len(at) else np.empty(0, bool)
+        out[at[same]] = self.term_order[k[same]]
+        return out
+
     def candidates(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Passages (document, start) that essential terms may bring over the threshold; ``ends`` are the documents' ends in ``ids``."""
         s, none = self.s, np.empty((0, 2), np.int64)
@@ -182,19 +192,22 @@ class Index:
         d = np.searchsorted(np.cumsum(passages), chosen, "right")
         return np.stack([d, (chosen - base[d]) * s.stride], 1)
 
-    def check(self, texts: list[str | None]) -> list[tuple[list[int], float]]:
+    def check(self, texts: pa.Array) -> list[tuple[list[int], float]]:
         """For each text, the items that it holds and the best score of a verified one."""
-        s, words = self.s, [terms(t) for t in texts]
-        ends = np.cumsum([len(w) for w in words])
-        ids = np.fromiter((i for w in words for i in map(self.term.__getitem__, w)), np.int64, int(ends[-1]) if len(ends) else 0)
-        best: list[dict[int, float]] = [{} for _ in texts]
+        s, t = self.s, tokenize(texts, WORDS_ONLY, lower=True)
+        ids, ends = self.ids(t.hashes), t.ends
+        best: list[dict[int, float]] = [{} for _ in range(len(texts))]
+        words: dict[int, list[str]] = {}
         for doc, at in self.candidates(ids, ends).tolist():
-            w, own = words[doc], best[doc]
-            found = ids[ends[doc] - len(w) + at : min(ends[doc] - len(w) + at + s.passage, ends[doc])]
+            start, own = (ends[doc - 1] if doc else 0) + at, best[doc]
+            found = ids[start : min(start + s.passage, ends[doc])]
             scores: dict[int, float] = {}
             for d, score in self.search(np.unique(found[found >= 0])):
                 scores[self.item[d]] = max(score, scores.get(self.item[d], 0.0))
+            if scores and doc not in words:
+                words = {doc: terms(texts[doc].as_py())}
             for item, score in scores.items():
+                w = words[doc]
                 q, a = self.parts[item]
                 around = w[max(0, at - len(q) - len(a)) : at + s.passage + len(q) + len(a)]
                 if item in own or (overlap(q, around, s.gram) >= s.overlap and overlap(a, around, s.gram) >= s.overlap):
@@ -231,7 +244,7 @@ def decontaminate(
             index = shared.value
             for batch in pieces(batches, text_col):
                 items, best = batch.column("items").to_pylist(), batch.column("best_score").to_pylist()
-                for k, (found, score) in enumerate(index.check(batch.column(text_col).to_pylist())):
+                for k, (found, score) in enumerate(index.check(batch.column(text_col))):
                     items[k], best[k] = sorted({*items[k], *found}), max(best[k], score)
                 cols = dict(zip(batch.schema.names, batch.columns, strict=True))
                 cols |= {"contaminated": pa.array([bool(x) for x in items]), "items": pa.array(items, pa.list_(pa.int64())), "best_score": pa.array(best, pa.float64())}

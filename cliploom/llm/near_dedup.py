@@ -18,12 +18,13 @@ signatures agree so seldom that a similarity at the threshold is out of question
 deviations).
 
 Copies, and groups of near copies, of any size: equal texts are one node from the start.  Within a
-bucket of up to ``small`` nodes all pairs are candidates.  Larger buckets proceed in rounds.  Each
-round verifies the members against a pivot, the member that shares most buckets with others, and
-joins components; a bucket goes on, without its pivots, only while members that belong to
-different components remain.  A group of n near copies so takes about n comparisons, and the end
-is that of comparing all candidate pairs: of any pair never compared, both already were in one
-component.
+bucket of up to ``small`` nodes all pairs are candidates.  In a larger bucket all members are first
+verified against a pivot, the member that shares most buckets with others, which joins nearly all
+of a group of near copies at about one comparison a member.  What then is open are pairs of members
+in different components.  They are compared in blocks: members outside the bucket's largest
+component against all members, ``block`` by ``block``, in a group of bounded size that gives back
+only links which join two components.  The end is that of comparing all candidate pairs: of any
+pair never compared, both already were in one component.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import limit_arrow_batches, written
-from .words import MULTIPLIERS, WordHashes, mixed, pieces, windows
+from .words import MULTIPLIERS, Tokens, mixed, pieces, tokenize, windows
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ class Settings:
     bands: int = 20
     rows: int = 5  #: slots of a band; 20 bands of 5 find a pair of similarity 0.8 with probability 0.9996
     small: int = 32  #: a bucket of up to so many members is compared pair by pair
+    block: int = 128  #: members on either side of a block of a larger bucket
     broadcast_ids: int = 1_000_000  #: up to so many ids (8 bytes each) go to the executors to pick texts; more are joined
 
     @property
@@ -58,10 +60,17 @@ class Settings:
         return self.similarity - 5 * (self.similarity * (1 - self.similarity) / self.slots) ** 0.5
 
 
-def shingles(text: str | None, known: WordHashes, k: int) -> np.ndarray:
-    """A hash of each shingle, repeats included; a text of fewer than k words is one shingle, one without words has none."""
-    h = known.of((text or "").lower().split())
-    return windows(h, min(k, len(h))) if len(h) else h
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text a hash of each shingle, repeats included; a text of fewer than k words is one shingle, one without words has none."""
+    t: Tokens = tokenize(texts, lower=True)
+    whole, n = windows(t.hashes, k), t.lengths
+    starts = t.ends - n
+    return [whole[a : a + m - k + 1] if m >= k else windows(t.hashes[a : a + m], max(m, 1)) for a, m in zip(starts.tolist(), n.tolist(), strict=True)]
+
+
+def weighted(texts: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, sorted, and their counts."""
+    return [np.unique(p, return_counts=True) for p in shingles(texts, k)]
 
 
 def signatures(parts: list[np.ndarray], slots: int) -> np.ndarray:
@@ -124,9 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = src.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.unhex(F.md5("text")))
 
     def sign(batches):
-        known = WordHashes()
         for batch in pieces(batches):
-            parts = [shingles(t, known, s.shingle) for t in batch.column("text").to_pylist()]
+            parts = shingles(batch.column("text"), s.shingle)
             sig = signatures(parts, s.slots)
             lines = sig.reshape(len(parts), s.bands, s.rows)
             band = np.broadcast_to(np.arange(1, s.bands + 1, dtype=np.uint64), (len(parts), s.bands)).copy()
@@ -149,39 +157,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     places = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = written(places.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n"), "buckets")
-    members = written(places.join(shared, "bucket").withColumn("component", F.col("id")), "members")
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    while members.take(1):
-        pairs, members = _candidates(members, s)
-        new = _verified(_agreeing(pairs, nodes, s), whole, s)
-        links = new if links is None else written(links.unionByName(new), "links")
-        labels = connected_components(links)
-        members = _open(members, labels)
-    classes = nodes.select("key", F.col("id").alias("node"))
-    if labels is not None:
-        classes = classes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
-    else:
-        classes = classes.select("key", F.col("node").alias("class_id"))
+    members = written(places.join(shared, "bucket"), "members")
+    links = _verified(_agreeing(_candidates(members, s), nodes, s), whole, s)
+    labels = connected_components(links)
+    late = _between_components(members, labels, nodes, whole, s)
+    if late.take(1):
+        labels = connected_components(links.unionByName(late))
+    classes = nodes.select("key", F.col("id").alias("node")).join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
     classes = written(classes, "classes")
     found = signed.select("id", "key").join(classes, "key").select("id", "class_id")
     rest = src.filter(F.col("id").isNull() | F.col("text").isNull()).select("id", F.col("id").alias("class_id"))
     return found.unionByName(rest).select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_representative"))
 
 
-def _candidates(members: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare in this round, and the members of buckets that may go on."""
+def _candidates(members: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b): all of small buckets, and of the others each member with the pivot."""
     small = members.filter(F.col("n") <= s.small)
-    x = small.select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = small.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b")
+    pairs = small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
     large = members.filter(F.col("n") > s.small)
     ties = written(members.groupBy("id").agg(F.sum("n").alias("ties")), "ties")
     pivots = large.join(ties, "id").groupBy("bucket").agg(F.max(F.struct("ties", (-F.col("id")).alias("minus"))).alias("p"))
     pivots = written(pivots.select("bucket", (-F.col("p.minus")).alias("pivot")), "pivots")
     compared = large.join(pivots, "bucket").filter("id <> pivot")
-    pairs = pairs.unionByName(compared.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
-    return written(pairs.distinct(), "pairs"), compared.select("bucket", "id")
+    return written(pairs.unionByName(compared.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))).distinct(), "pairs")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -198,35 +196,103 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     return written(both.mapInArrow(run, "a long, b long"), "agreeing")
 
 
+def _texts(ids: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
+    """(id, text) of the nodes ``ids``."""
+    ids = written(ids.distinct(), "ids")
+    picked = F.broadcast(ids) if ids.count() <= s.broadcast_ids else ids
+    return whole.join(picked, "id").groupBy("id", "key").agg(F.first("text").alias("text")).select("id", "text")
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b), a < b: pairs whose whole texts have the similarity."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    picked = F.broadcast(ids) if ids.count() <= s.broadcast_ids else ids
-    texts = written(whole.join(picked, "id").groupBy("id", "key").agg(F.first("text").alias("text")).select("id", "text"), "texts")
+    texts = written(_texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), whole, s), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
-        known = WordHashes()
-        last: dict[int, tuple] = {}
-
-        def weighted(node: int, text: str):
-            if last.get(node, ("",))[0] != text:
-                if len(last) > 64:
-                    last.clear()
-                last[node] = (text, np.unique(shingles(text, known, s.shingle), return_counts=True))
-            return last[node][1]
-
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-            ok = [probability_jaccard(weighted(i, t), weighted(j, u)) >= s.similarity - 1e-12 for i, j, t, u in zip(a, b, x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for part in pieces(pieces([batch], "x"), "y"):
+                x, y = weighted(part.column("x"), s.shingle), weighted(part.column("y"), s.shingle)
+                ok = [probability_jaccard(u, v) >= s.similarity - 1e-12 for u, v in zip(x, y, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return written(both.mapInArrow(run, "a long, b long").distinct(), "verified")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, without pivots, of buckets that still hold more than one component."""
-    now = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("component"))
-    now = written(now, "open")
-    counts = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("bucket", "n")
-    return written(now.join(written(counts, "buckets"), "bucket").select("id", "bucket", "n", "component"), "members")
+def _between_components(members: DataFrame, labels: DataFrame, nodes: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join components, found among the members of large buckets."""
+    large = members.filter(F.col("n") > s.small)
+    now = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("bucket", "n", "id", F.coalesce("label", "id").alias("component"))
+    now = written(now, "large")
+    counts = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"))
+    state = now.join(written(counts, "largest"), "bucket").filter(F.col("top.m") < F.col("n"))
+    state = state.withColumn("minor", F.col("component") != F.col("top.component"))
+    rows, others = F.ceil((F.col("n") - F.col("top.m")) / s.block).cast("int"), F.ceil(F.col("n") / s.block).cast("int")
+    held = state.select(
+        "bucket", "id", "component", "minor", rows.alias("rows"), others.alias("others"),
+        F.pmod(F.xxhash64("id"), rows).cast("int").alias("r"), F.pmod(F.xxhash64("id", F.lit(1)), others).cast("int").alias("o"),
+    )
+    held = written(held, "held")
+    if not held.take(1):
+        return held.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    texts = _texts(held.select("id"), whole, s).join(nodes.select("id", "bands", "sig"), "id")
+
+    def shingled(batches):
+        for batch in pieces(batches):
+            w = weighted(batch.column("text"), s.shingle)
+            items = [x.tobytes() for x, _ in w]
+            count = [c.astype(np.uint32).tobytes() for _, c in w]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("bands"), batch.column("sig"), pa.array(items, pa.binary()), pa.array(count, pa.binary())], ["id", "bands", "sig", "items", "count"])
+
+    payload = written(texts.mapInArrow(shingled, "id long, bands array<bigint>, sig binary, items binary, count binary"), "payload")
+    asking = held.filter("minor").select("bucket", "r", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("o"), "id", "component", F.lit(True).alias("asks"))
+    asked = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "o", "id", "component", F.lit(False).alias("asks"))
+    blocks = asking.unionByName(asked).join(payload, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        found = _links_of_block(table, bucket, s)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return written(blocks.groupBy("bucket", "r", "o").applyInArrow(compare, "a long, b long").distinct(), "late")
+
+
+def _links_of_block(table: pa.Table, bucket: int, s: Settings) -> list[tuple[int, int]]:
+    ids, component = table.column("id").to_numpy(), table.column("component").to_pylist()
+    asks = np.array(table.column("asks").to_pylist())
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    # A pair is compared in the first bucket that it shares; every shared bucket would do.
+    here = (bands == bucket).argmax(1)
+    items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+    count = [np.frombuffer(x, np.uint32) for x in table.column("count").to_pylist()]
+    size, plain = np.array([len(x) for x in items]), np.array([int(c.sum()) == len(c) for c in count])
+    right = np.flatnonzero(~asks)
+    parent: dict[int, int] = {c: c for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for u in np.flatnonzero(asks):
+        roots = np.array([root(component[v]) for v in right])
+        ok = (roots != root(component[u])) & ((sig[right] == sig[u]).mean(1) >= s.least_agreement)
+        ok &= ~((bands[right, : here[u]] == bands[u, : here[u]]).any(1))
+        v = right[ok]
+        bound = np.minimum(size[v], size[u]) / np.maximum(size[v], size[u])
+        v = v[~(plain[v] & plain[u]) | (bound >= s.similarity - 1e-12)]
+        if not len(v):
+            continue
+        flat = np.concatenate([items[k] for k in v])
+        hit = items[u][np.minimum(np.searchsorted(items[u], flat), len(items[u]) - 1)] == flat
+        shared = np.add.reduceat(hit, np.cumsum(size[v]) - size[v])
+        similar = shared / (size[v] + size[u] - shared)
+        for k, j in zip(v.tolist(), similar.tolist(), strict=True):
+            if not (plain[k] and plain[u]):
+                j = probability_jaccard((items[u], count[u]), (items[k], count[k]))
+            if j >= s.similarity - 1e-12 and root(component[k]) != root(component[u]):
+                out.append((min(int(ids[u]), int(ids[k])), max(int(ids[u]), int(ids[k]))))
+                parent[root(component[k])] = root(component[u])
+    return out

@@ -1,6 +1,6 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Tokens are runs of word characters, lower case, and runs of other visible characters.  Hashes of
+Tokens are runs of word characters, lower case, and runs of other visible ASCII characters.  Hashes of
 single tokens and of neighbouring pairs index one weight vector; a token that repeats the one
 before it, or the one before that, is one feature whatever the token.  A document's features are
 its n-gram counts divided by the token count and scaled, so that scores don't depend on length.
@@ -12,7 +12,6 @@ the corpus), in one task.  Scoring reads every row where it lies: the weights ar
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import limit_arrow_batches
-from .words import MULTIPLIERS, WordHashes, mixed, pieces
-
-TOKEN = re.compile(r"\w+|[^\w\s]+")
+from .words import MULTIPLIERS, WORDS_AND_MARKS, mixed, pieces, tokenize
 
 
 @dataclass(frozen=True)
@@ -39,13 +36,16 @@ class Settings:
     seed: int = 0
 
 
-def features(text: str | None, known: WordHashes, bits: int) -> tuple[np.ndarray, int]:
-    """Indices of all features, repeats included, and the number of tokens."""
-    h = known.of(TOKEN.findall((text or "").lower()))
-    again, skipped = h[1:] == h[:-1], h[2:] == h[:-2]
-    pairs = np.where(again, MULTIPLIERS[0], h[:-1] * MULTIPLIERS[0] + h[1:] * MULTIPLIERS[1])
-    skips = np.full(int(skipped.sum()), MULTIPLIERS[1])
-    return (mixed(np.concatenate([h, pairs, skips])) >> np.uint64(64 - bits)).astype(np.int64), len(h)
+def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts together: index of each feature, repeats included, the text that it is from, and the number of tokens of each text."""
+    t = tokenize(texts, WORDS_AND_MARKS, lower=True)
+    h, n, left = t.hashes, t.lengths, t.left()
+    text = np.repeat(np.arange(len(n)), n)
+    two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+    pairs = np.where(h[two] == h[two + 1], MULTIPLIERS[0], h[two] * MULTIPLIERS[0] + h[two + 1] * MULTIPLIERS[1])
+    skips = three[h[three] == h[three + 2]]
+    found = np.concatenate([h, pairs, np.full(len(skips), MULTIPLIERS[1])])
+    return (mixed(found) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([text, text[two], text[skips]]), n
 
 
 def sigmoid(z: float) -> float:
@@ -73,10 +73,16 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def example(text: str | None, known: WordHashes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    found, tokens = features(text, known, s.bits)
-    i, count = np.unique(found, return_counts=True)
-    return np.append(i, 1 << s.bits).astype(np.int32), np.append(count * (s.scale / max(tokens, 1)), 1.0).astype(np.float32)
+def examples(texts: pa.Array, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse vectors of the texts, the intercept last."""
+    place, text, tokens = features(texts, s.bits)
+    key, count = np.unique((text << s.bits) | place, return_counts=True)
+    cuts = np.searchsorted(key, np.arange(len(tokens) + 1) << s.bits)
+    out = []
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        i, x = key[a:b] & ((1 << s.bits) - 1), count[a:b] * (s.scale / max(int(tokens[k]), 1))
+        out.append((np.append(i, 1 << s.bits).astype(np.int32), np.append(x, 1.0).astype(np.float32)))
+    return out
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], s: Settings) -> np.ndarray:
@@ -108,11 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     sample = texts.join(F.broadcast(chosen), "id").select("text", "label", "h")
 
     def run(batches):
-        known, rows, most = WordHashes(), [], s.sample + s.sample // 4
-        for batch in batches:
-            for text, y, h in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "h")), strict=True):
-                if len(rows) < most:
-                    rows.append((h, y, *example(text, known, s)))
+        rows, most = [], s.sample + s.sample // 4
+        for batch in pieces(batches):
+            if len(rows) < most:
+                rows += zip(batch.column("h").to_pylist(), batch.column("label").to_pylist(), *zip(*examples(batch.column("text"), s), strict=True), strict=True)
         rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
         w = train([r[2:] for r in rows], [r[1] for r in rows], s)
         for at in range(0, len(w), 1 << 16):
@@ -137,13 +142,10 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", into: st
     schema = kept.select("*", F.lit(0.0).alias(into)).schema
 
     def run(batches):
-        w, known = shared.value, WordHashes()
-        intercept = float(w[-1])
+        w = shared.value
         for batch in pieces(batches, text_col):
-            z = []
-            for text in batch.column(text_col).to_pylist():
-                i, tokens = features(text, known, s.bits)
-                z.append(intercept + s.scale * float(w[i].sum(dtype=np.float64)) / max(tokens, 1))
+            place, text, tokens = features(batch.column(text_col), s.bits)
+            z = float(w[-1]) + s.scale * np.bincount(text, w[place], len(tokens)) / np.maximum(tokens, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sigmoid(v) for v in z], pa.float64())], [*batch.schema.names, into])
 
     return kept.mapInArrow(run, schema)

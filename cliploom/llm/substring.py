@@ -22,7 +22,6 @@ larger corpus is done in slices of the minimizer's hash, one pair of passes each
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,18 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import limit_arrow_batches, written
-from .words import MULTIPLIERS, WordHashes, mixed, pieces, windows
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from .words import MULTIPLIERS, Tokens, mixed, pieces, tokenize, windows
 
 
 @dataclass(frozen=True)
 class Settings:
     length: int = 13  #: words of a window
-    gram: int = 7  #: words of a minimizer
+    gram: int = 6  #: words of a minimizer
     depth: int = 2  #: rows of the sketch
     cells_per_place: float = 2.0  #: cells of a row for each expected minimizer place
     min_cells: int = 1 << 16
+    copies: int = 1_000_000  #: up to so many rows that copy a whole text (8 bytes each) are known to all executors; more go through the windows
     max_cells: int = 1 << 27  #: of a row; a cell is a byte while counting and half a byte when broadcast
     chunk: int = 1 << 20  #: cells
     bytes_per_word: float = 5.0  #: to size the sketch; wrong guesses cost speed only
@@ -52,18 +50,12 @@ class Settings:
 FULL = 15  #: counters saturate here; half a byte each
 
 
-def split(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the end of each text in them."""
-    words = [WORD.findall(t) if t else [] for t in texts]
-    hashes = [known.of(w) for w in words]
-    return np.concatenate([*hashes, np.empty(0, np.uint64)]), np.cumsum([len(w) for w in words], dtype=np.int64)
-
-
-def minimizers(h: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimizers(t: Tokens, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts of windows, place of each window's minimizer, hash of the gram at every place).
 
     Of equal hashes the first counts, so equal windows agree and places never go back.
     """
+    h = t.hashes
     g = windows(h, s.gram)
     n = len(h) - s.length + 1
     if n <= 0:
@@ -73,9 +65,7 @@ def minimizers(h: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray
         less = g[j : n + j] < best
         best[less] = g[j : n + j][less]
         off[less] = j
-    lengths = np.diff(ends, prepend=0)
-    left = np.repeat(ends, lengths)[:n] - np.arange(n)  # words from here to the end of the text
-    at = np.flatnonzero(left >= s.length)
+    at = np.flatnonzero(t.left()[:n] >= s.length)
     return at, at + off[at], g
 
 
@@ -95,15 +85,18 @@ def _sketch(docs: DataFrame, width: int, turn: int, turns: int, s: Settings) ->
     chunk = min(s.chunk, width)
 
     def count(batches):
-        table, known, press, any_rows = np.zeros((s.depth, width), np.uint8), WordHashes(), zstandard.ZstdCompressor(level=1), False
+        table, press, any_rows = np.zeros((s.depth, width), np.uint8), zstandard.ZstdCompressor(level=1), False
         for batch in pieces(batches):
-            h, ends = split(batch.column("text").to_pylist(), known)
-            at, place, g = minimizers(h, ends, s)
+            t = tokenize(batch.column("text"))
+            at, place, g = minimizers(t, s)
             _, place = _selected(at, place, g, turn, turns)
             if not len(place):
                 continue
             any_rows = True
-            grams = g[place[np.append(True, place[1:] != place[:-1])]]
+            place = place[np.append(True, place[1:] != place[:-1])]
+            # Once for each document: repeats within one don't matter.
+            _, once = np.unique(mixed(g[place] + np.searchsorted(t.ends, place, "right").astype(np.uint64) * MULTIPLIERS[0]), return_index=True)
+            grams = g[place[once]]
             for r in range(s.depth):
                 c, k = np.unique(cells(grams, r, width), return_counts=True)
                 table[r, c] = np.minimum(table[r, c] + np.minimum(k, FULL), FULL)
@@ -171,10 +164,11 @@ def _occurrences(docs: DataFrame, sketch: Sketch, turn: int, turns: int, s: Sett
         powers.append(np.cumprod(np.append(np.uint64(1), np.full(s.length - 1, m)), dtype=np.uint64))
 
     def find(batches):
-        sk, known = shared.value, WordHashes()
+        sk = shared.value
         for batch in pieces(batches):
-            h, ends = split(batch.column("text").to_pylist(), known)
-            at, place, g = minimizers(h, ends, s)
+            t = tokenize(batch.column("text"))
+            h, ends = t.hashes, t.ends
+            at, place, g = minimizers(t, s)
             at, place = _selected(at, place, g, turn, turns)
             if not len(at):
                 continue
@@ -184,7 +178,7 @@ def _occurrences(docs: DataFrame, sketch: Sketch, turn: int, turns: int, s: Sett
             words = h[at[:, None] + np.arange(s.length)]
             h1, h2 = (mixed((words * p).sum(1, dtype=np.uint64)).view(np.int64) for p in powers)
             doc = np.searchsorted(ends, at, "right")
-            starts = ends - np.diff(ends, prepend=0)
+            starts = ends - t.lengths
             ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array(rows[doc]), pa.array((at - starts[doc]).astype(np.int32)), pa.array(count >= FULL)],
@@ -208,6 +202,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     src = src.withColumn("row", F.xxhash64("id", "text"))
     whole = src.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    # Rows that copy the whole text of a smaller id lose all their words, if they have a window.
+    keyed = whole.select("id", "row", F.unhex(F.md5("text")).alias("key"))
+    firsts = written(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first"), "firsts")
+    copies = written(keyed.join(firsts, "key").filter("first < id").select("row").distinct(), "copies")
+    if copies.count() > s.copies:
+        copies = copies.limit(0)
+    whole = whole.join(F.broadcast(copies), "row", "left_anti")
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = size / s.bytes_per_word * 2 / (s.length - s.gram + 2)
     wanted = max(s.min_cells, int(places * s.cells_per_place))
@@ -224,23 +225,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = rare.unionByName(often).filter("first < id").select("row", "pos")
         removed = out if removed is None else removed.unionByName(out)
     # A document's places are bounded by its words, whatever the number of equal rows.
-    gone = written(removed.groupBy("row").agg(F.collect_set("pos").alias("pos")), "removed")
+    gone = removed.groupBy("row").agg(F.collect_set("pos").alias("pos"))
+    gone = written(gone.unionByName(copies.select("row", F.array(F.lit(-1)).alias("pos"))), "removed")
 
     def keep(batches):
         for batch in pieces(batches):
             n, lost, kept = [], [], []
-            for text, pos in zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist(), strict=True):
-                words = WORD.findall(text) if text else []
-                if pos:
+            for text, pos in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("pos").to_pylist(), strict=True):
+                words = left = text.split() if text else []  # bytes split at ASCII white space alone
+                if pos == [-1]:
+                    left = words if len(words) < s.length else []
+                elif pos:
                     mark = np.zeros(len(words) + 1, np.int32)
                     np.add.at(mark, pos, 1)
                     np.add.at(mark, np.asarray(pos) + s.length, -1)
-                    stay = np.cumsum(mark)[:-1] == 0
-                    left = [w for w, ok in zip(words, stay.tolist(), strict=True) if ok]
-                else:
-                    left = words
-                n.append(len(words)), lost.append(len(words) - len(left)), kept.append(" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
+                    left = [w for w, ok in zip(words, (np.cumsum(mark)[:-1] == 0).tolist(), strict=True) if ok]
+                n.append(len(words)), lost.append(len(words) - len(left)), kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
     joined = src.join(gone, "row", "left").select("id", "text", "pos")
     return joined.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
