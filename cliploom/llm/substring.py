@@ -42,7 +42,7 @@ class Settings:
     cells_per_place: float = 2.0  #: cells of a row for each expected minimizer place
     min_cells: int = 1 << 16
     copies: int = 1_000_000  #: up to so many rows that copy a whole text (8 bytes each) are known to all executors; more go through the windows
-    max_cells: int = 1 << 27  #: of a row; a cell is a byte while counting and half a byte when broadcast
+    max_cells: int = 1 << 27  #: of a row; a cell is half a byte
     chunk: int = 1 << 20  #: cells
     bytes_per_word: float = 5.0  #: to size the sketch; wrong guesses cost speed only
 
@@ -85,7 +85,7 @@ def _sketch(docs: DataFrame, width: int, turn: int, turns: int, s: Settings) ->
     chunk = min(s.chunk, width)
 
     def count(batches):
-        table, press, any_rows = np.zeros((s.depth, width), np.uint8), zstandard.ZstdCompressor(level=1), False
+        table, press, any_rows = np.zeros((s.depth, width // 2), np.uint8), zstandard.ZstdCompressor(level=1), False
         for batch in pieces(batches):
             t = tokenize(batch.column("text"))
             at, place, g = minimizers(t, s)
@@ -99,11 +99,17 @@ def _sketch(docs: DataFrame, width: int, turn: int, turns: int, s: Settings) ->
             grams = g[place[once]]
             for r in range(s.depth):
                 c, k = np.unique(cells(grams, r, width), return_counts=True)
-                table[r, c] = np.minimum(table[r, c] + np.minimum(k, FULL), FULL)
+                for odd in (0, 1):  # two counters a byte; of either kind, cells are distinct
+                    mine = (c & 1) == odd
+                    at, more, shift = c[mine] >> 1, np.minimum(k[mine], FULL).astype(np.uint8), 4 * odd
+                    old = table[r, at]
+                    now = np.minimum(((old >> shift) & 15) + more, FULL).astype(np.uint8)
+                    table[r, at] = (old & (240 >> shift)) | (now << shift)
         for r in range(s.depth if any_rows else 0):
-            for c in range(0, width, chunk):
-                if table[r, c : c + chunk].any():
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([r * (width // chunk) + c // chunk], pa.int32()), "data": [press.compress(_packed(table[r, c : c + chunk]))]})
+            for c in range(width // chunk):
+                own = table[r, c * chunk // 2 : (c + 1) * chunk // 2]
+                if own.any():
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([r * (width // chunk) + c], pa.int32()), "data": [press.compress(own.tobytes())]})
 
     def merge(batches):
         press, unpress, held = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), {}
@@ -131,26 +137,21 @@ def _unpacked(data: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """The merged sketch, half a byte a counter, unpacked once in a worker."""
+    """The merged sketch, half a byte a counter, as it is broadcast: compressed."""
 
-    _held: dict[str, np.ndarray] = {}
-
-    def __init__(self, parts: list[tuple[int, bytes]], width: int, s: Settings, name: str) -> None:
-        self.parts, self.width, self.s, self.name = parts, width, s, name
+    def __init__(self, parts: list[tuple[int, bytes]], width: int, s: Settings) -> None:
+        self.parts, self.width, self.s = parts, width, s
 
     def table(self) -> np.ndarray:
-        if self.name not in Sketch._held:
-            chunk, unpress = min(self.s.chunk, self.width) // 2, zstandard.ZstdDecompressor()
-            out = np.zeros(self.s.depth * self.width // 2, np.uint8)
-            for part, data in self.parts:
-                out[part * chunk : (part + 1) * chunk] = np.frombuffer(unpress.decompress(data), np.uint8)
-            Sketch._held.clear()
-            Sketch._held[self.name] = out.reshape(self.s.depth, -1)
-        return Sketch._held[self.name]
-
-    def estimate(self, grams: np.ndarray) -> np.ndarray:
+        chunk, unpress = min(self.s.chunk, self.width) // 2, zstandard.ZstdDecompressor()
+        out = np.zeros(self.s.depth * self.width // 2, np.uint8)
+        for part, data in self.parts:
+            out[part * chunk : (part + 1) * chunk] = np.frombuffer(unpress.decompress(data), np.uint8)
+        return out.reshape(self.s.depth, -1)
+
+    def estimate(self, table: np.ndarray, grams: np.ndarray) -> np.ndarray:
         least = np.full(len(grams), FULL, np.uint8)
-        for r, row in enumerate(self.table()):
+        for r, row in enumerate(table):
             c = cells(grams, r, self.width)
             least = np.minimum(least, (row[c >> 1] >> ((c & 1) << 2).astype(np.uint8)) & 15)
         return least
@@ -165,6 +166,7 @@ def _occurrences(docs: DataFrame, sketch: Sketch, turn: int, turns: int, s: Sett
 
     def find(batches):
         sk = shared.value
+        table = sk.table()  # of this task; a worker keeps nothing for the next
         for batch in pieces(batches):
             t = tokenize(batch.column("text"))
             h, ends = t.hashes, t.ends
@@ -173,7 +175,7 @@ def _occurrences(docs: DataFrame, sketch: Sketch, turn: int, turns: int, s: Sett
             if not len(at):
                 continue
             new = np.append(True, place[1:] != place[:-1])
-            count = sk.estimate(g[place[new]])[np.cumsum(new) - 1]
+            count = sk.estimate(table, g[place[new]])[np.cumsum(new) - 1]
             at, count = at[count >= 2], count[count >= 2]
             words = h[at[:, None] + np.arange(s.length)]
             h1, h2 = (mixed((words * p).sum(1, dtype=np.uint64)).view(np.int64) for p in powers)
@@ -217,7 +219,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed: DataFrame | None = None
     for turn in range(turns):
         parts = _sketch(whole, width, turn, turns, s)
-        found = _occurrences(whole, Sketch(parts, width, s, f"{id(parts)}-{turn}"), turn, turns, s)
+        found = _occurrences(whole, Sketch(parts, width, s), turn, turns, s)
         rare = found.filter(~F.col("often")).selectExpr("row", "pos", "id", "min(id) OVER (PARTITION BY h1, h2) AS first")
         often = found.filter("often")
         least = often.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 #: Odd multipliers of the rolling polynomials; any odd numbers of full width serve.
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-CHUNK = 1 << 21  #: bytes hashed at a time
+CHUNK = 1 << 20  #: bytes hashed at a time
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def windows(hashes: np.ndarray, k: int, multiplier: np.uint64 = MULTIPLIERS[0])
     return mixed(out)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``size`` bytes of text, and never less than a row."""
     for batch in batches:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
