@@ -48,7 +48,7 @@ def resolution(text: Column) -> tuple[Column, Column]:
 
 
 def names(text: Column) -> Column:
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda name: F.trim(name))
 
 
 def shard_file(shard: Column, camera: Column | None = None) -> Column:

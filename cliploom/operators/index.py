@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_PTS = Window.partitionBy("video_id").orderBy("pts")
-SO_FAR = BY_PTS.rowsBetween(Window.unboundedPreceding, 0)
-
-
 def build(packets: DataFrame) -> DataFrame:
     """(video_id, frame_idx, pts, is_keyframe, keyframe_pts) from packets in any order; pts is distinct in a video.
 
     Frames before the first keyframe take the first pts.
     """
-    last_key = F.last(F.when(F.col("is_keyframe"), F.col("pts")), ignorenulls=True).over(SO_FAR)
+    by_pts = Window.partitionBy("video_id").orderBy("pts")
+    so_far = by_pts.rowsBetween(Window.unboundedPreceding, 0)
+    last_key = F.last(F.when(F.col("is_keyframe"), F.col("pts")), ignorenulls=True).over(so_far)
     return packets.select(
         "video_id",
-        (F.row_number().over(BY_PTS).cast("long") - 1).alias("frame_idx"),
+        (F.row_number().over(by_pts).cast("long") - 1).alias("frame_idx"),
         "pts",
         "is_keyframe",
-        F.coalesce(last_key, F.first("pts").over(SO_FAR)).alias("keyframe_pts"),
+        F.coalesce(last_key, F.first("pts").over(so_far)).alias("keyframe_pts"),
     )
 
 
