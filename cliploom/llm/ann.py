@@ -2,7 +2,7 @@
 
 Vectors get one more component so that all have one length; the largest inner product then is the
 smallest distance.  A bounded sample is cut into clusters of equal size by repeated balanced
-bisection; the centroids are few enough to be broadcast, with a neighbour graph that is searched in
+bisection; the centroids, brought to the vectors' length, are few enough to be broadcast, with a neighbour graph that is searched in
 memory, best first.
 
 Every vector goes to the list of its nearest centroid; a vector near a boundary goes to further
@@ -36,7 +36,7 @@ class Settings:
     replicas: int = 4
     boundary: float = 0.15
     probes: int = 64
-    prune: float = 0.6
+    prune: float = 0.25
     degree: int = 16  #: of the centroid graph
     beam: int = 96  #: candidates held while it is searched
     block: int = 2048  #: vectors, and queries, of a block
@@ -123,7 +123,7 @@ def search_graph(m: Model, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray
 
 
 def lists_of_vectors(m: Model, x: np.ndarray, s: Settings) -> list[list[int]]:
-    ids, d = search_graph(m, x, 4 * s.replicas, s.beam // 2)
+    ids, d = search_graph(m, x, 8 * s.replicas, s.beam // 2)
     out = []
     for row, dist in zip(ids, np.sqrt(d), strict=True):
         chosen = [int(row[0])]
@@ -249,5 +249,6 @@ def fit(rows: DataFrame, n: int, longest: float, s: Settings) -> Model:
     if not found:  # the hash left no row of a very small table
         found = [{"c": widened(np.array([rows.first()["v"]]), longest).tobytes()}]
     c = np.array([np.frombuffer(r["c"], np.float32) for r in found])
+    c = c * (longest / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)).astype(np.float32)
     entries = np.random.default_rng(s.seed).permutation(len(c))[:64]
     return Model(c, centroid_graph(c, s.degree), entries, longest)
