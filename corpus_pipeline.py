@@ -20,11 +20,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of smallest id."""
+    """Of each class of near duplicates the document of smallest id; rows that repeat it, id and text, count once."""
     classes = near_dedup.near_duplicates(docs)
     first = classes.filter("is_representative and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
+    docs = docs.select(*COLUMNS)
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return taken.filter("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
