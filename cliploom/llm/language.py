@@ -117,12 +117,13 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, s: Settings
 
     Sampling is by thresholds on the hash, from counts by language, so that a language with a
     third of all rows is never gathered; the sample has ``1.25 * sample_of_each`` rows of a
-    language, about, and ``sample_of_each`` are used.
+    language, about, and ``sample_of_each`` are used.  The hash is of key and text, so rows with a
+    null key are sampled as any others; rows that repeat both, however many, count as one.
     """
     spark = docs.sparkSession
     limit_arrow_batches(spark)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(s.seed), key).alias("h")
+        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(s.seed), key, text_col).alias("h")
     )
     totals = known.groupBy("lang").count().limit(s.languages + 1).collect()
     if len(totals) > s.languages:
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, s: Settings
     # A share of the hash's range: xxhash64 is uniform over signed 64-bit integers.
     share = [(r["lang"], int(-(2**63) + min(1.0, 1.25 * s.sample_of_each / r["count"]) * (2**64 - 1))) for r in totals]
     limits = spark.createDataFrame([(a, min(b, 2**63 - 1)) for a, b in share], "lang string, upto long")
-    sample = known.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("upto")).select("text", "lang", "h")
+    sample = known.join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("upto")).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(batches):
         table, held = letter_table(), {}

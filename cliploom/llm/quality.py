@@ -100,8 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
 
     ``labels`` is sampled by a threshold on a seeded hash of the id, set from its row count to
     give ``s.sample`` ids; every id can be among them.  Only the sample is joined to the texts, so
-    no text is shuffled but those learned from.  An id with several labels has its largest.  Null
-    ids and other labels are passed over.  Without labelled rows every score is one half.
+    no text is shuffled but those learned from.  An id with several labels has its largest, one
+    with several rows its smallest text: rows that repeat an id, however many, reach the learning
+    task as one.  Null ids and other labels are passed over.  Without labelled rows every score is one half.
     """
     spark = docs.sparkSession
     limit_arrow_batches(spark)
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     upto = min(2**63 - 1, int(-(2**63) + min(1.0, s.sample / max(n, 1)) * 2**64))
     chosen = marked.filter(F.col("h") <= upto)  # s.sample rows, give or take a few standard deviations
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "label", "h")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("h", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
         rows, most = [], s.sample + s.sample // 4
