@@ -103,8 +103,9 @@ def mix(
     source_col: str = "source",
     text_col: str = "text",
     weights: tuple[int, ...] = (1, 2, 3),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken = copies * size.
+    """One row per input row: id, source, size, source_size, target, copies, taken = copies * size, and the columns ``keep``.
 
     * size counts runs of characters other than ASCII white space; a null or empty text has none.
     * A null source is a source of its own and comes last.
@@ -113,21 +114,25 @@ def mix(
       at most.
     * The same input and seed give the same result, in whatever order rows come.
     * An empty table gives an empty result.  Other columns are not read.
+    * Columns of ``keep`` come from the input as it lies, in a second reading, and are never
+      shuffled; one named like another column of the result is an error.
     """
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("src"),
-            F.col(source_col).isNull().alias("no_src"),
-            word_count(F.col(text_col)).alias("size"),
-            seeded_hash(seed, F.col(id_col)).alias("h"),
-        ),
-        "mix-rows",
+    own = (id_col, source_col, "size", "source_size", "target", "copies", "taken")
+    if len({*own, *keep}) < len(own) + len(keep):
+        raise ValueError("keep names a column twice, or one of the result's own")
+    read = docs.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("src"),
+        F.col(source_col).isNull().alias("no_src"),
+        word_count(F.col(text_col)).alias("size"),
+        seeded_hash(seed, F.col(id_col)).alias("h"),
+        *([F.struct(*keep).alias("kept")] if keep else []),
     )
+    rows = written(read.drop("kept"), "mix-rows")
     sizes = rows.groupBy("src", "no_src").agg(F.sum("size").alias("source_size"))
     limits = thresholds(rows, targets(sizes, weights))
     copies = F.col("repeats") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return rows.join(limits, ["src", "no_src"]).select(
+    return (read if keep else rows).join(limits, ["src", "no_src"]).select(
         F.col("id").alias(id_col),
         F.when(~F.col("no_src"), F.col("src")).alias(source_col),
         "size",
@@ -135,4 +140,5 @@ def mix(
         "target",
         copies.cast("int").alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *[F.col("kept")[c].alias(c) for c in keep],
     )
