@@ -35,10 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    docs = docs.select(*COLUMNS)
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return taken.filter("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars")).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
