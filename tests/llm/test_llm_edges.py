@@ -70,6 +70,9 @@ def test_quality(spark, docs, nothing):
         assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in got} == {0.5}
     assert quality.score(nothing, w, s=s).count() == 0
+    # However often rows repeat, they are learned from once.
+    weights = [quality.fit(d, labels, "quality", s=s) for d in (docs, docs.unionByName(docs))]
+    assert np.array_equal(*weights) and weights[0].any()
 
 
 def test_language(docs, nothing):
@@ -79,6 +82,8 @@ def test_language(docs, nothing):
     empty = language.fit(nothing, "text", "lang", F.col("doc_id"))
     assert {r["lang_pred"] for r in language.predict(docs, empty).collect()} == {"und"}
     assert language.predict(nothing, m).count() == 0
+    keyless, twice = (language.fit(d, "text", "lang", F.lit(None).cast("long")) for d in (docs, docs.unionByName(docs)))
+    assert keyless.names == twice.names and np.array_equal(keyless.centroids, twice.centroids) and set(keyless.names) == {"en", "es"}
 
 
 def test_sharding(docs, nothing):
@@ -99,6 +104,21 @@ def test_mixing(docs, nothing):
     assert [tuple(r) for r in sorted(got, key=str)] == [tuple(r) for r in sorted(mixing.mix(docs.repartition(3)).collect(), key=str)]
     assert sum({(r["source"], r["target"]): r["target"] for r in got}.values()) == pytest.approx(sum(r["size"] for r in got))
     assert mixing.mix(nothing).count() == 0
+    kept = mixing.mix(docs, keep=("text", "h", "src")).collect()
+    plain = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    assert sorted((tuple(r[c] for c in plain) for r in kept), key=str) == sorted(map(tuple, got), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(((r[0], r[1]) for r in ROWS), key=str) and {r["h"] for r in kept} == {"clash"}
+    for wrong in (("size",), ("text", "text")):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, keep=wrong)
+
+
+def test_mixing_stage_takes_rows_of_one_id_by_their_sources(spark):
+    rows = [(1, "w " * 60, "en", "a", 0), *[(k, "w " * 10, "en", "b", 0) for k in range(1, 7)], (1, "w " * 300, "en", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(docs).collect()}
+    got = {(r["doc_id"], r["source"]): r["count"] for r in corpus_pipeline.mix_sources(spark, docs, "").groupBy("doc_id", "source").count().collect()}
+    assert len({n for (i, _), n in want.items() if i == 1}) > 1 and got == {k: n for k, n in want.items() if n}
 
 
 def test_chat(spark):
