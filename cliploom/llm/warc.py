@@ -148,13 +148,18 @@ class Member:
     def __init__(self, source: Source, at: int) -> None:
         self.source, self.at = source, at
         self.raw = source.file.read_at(min(self.FIRST, source.size - at), at)
-        if self.raw[:3] != b"\x1f\x8b\x08":
+        if self.raw[:3] != b"\x1f\x8b\x08"[: len(self.raw)]:
             raise ValueError(f"no gzip member at byte {at}")
+        if len(self.raw) < 12:  # a gzip member has 18 bytes at least
+            raise ValueError(f"truncated member at byte {at}")
         self.known: int | None = None
         if self.raw[3] & 4:
             extra = self.raw[12 : 12 + struct.unpack("<H", self.raw[10:12])[0]]
             if extra[:4] == b"SL\x10\0":
-                self.known = struct.unpack("<Q", extra[4:12])[0]
+                if len(extra) >= 12:
+                    self.known = struct.unpack("<Q", extra[4:12])[0]
+                if self.known is None or at + self.known > source.size:
+                    raise ValueError(f"truncated member at byte {at}")
         self.inflate, self.plain, self.read = zlib.decompressobj(31), b"", 0
 
     def more(self) -> bool:
