@@ -207,10 +207,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that copy the whole text of a smaller id lose all their words, if they have a window.
     keyed = whole.select("id", "row", F.unhex(F.md5("text")).alias("key"))
     firsts = written(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first"), "firsts")
-    copies = written(keyed.join(firsts, "key").filter("first < id").select("row").distinct(), "copies")
+    copies = written(keyed.join(firsts, "key").filter("first < id").select("id", "row").distinct(), "copies")
     if copies.count() > s.copies:
         copies = copies.limit(0)
-    whole = whole.join(F.broadcast(copies), "row", "left_anti")
+    whole = whole.join(F.broadcast(copies), ["id", "row"], "left_anti")
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = size / s.bytes_per_word * 2 / (s.length - s.gram + 2)
     wanted = max(s.min_cells, int(places * s.cells_per_place))
@@ -224,11 +224,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         often = found.filter("often")
         least = often.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first")
         often = often.join(written(least, "often"), ["h1", "h2"]).select("row", "pos", "id", "first")
-        out = rare.unionByName(often).filter("first < id").select("row", "pos")
+        out = rare.unionByName(often).filter("first < id").select("id", "row", "pos")
         removed = out if removed is None else removed.unionByName(out)
-    # A document's places are bounded by its words, whatever the number of equal rows.
-    gone = removed.groupBy("row").agg(F.collect_set("pos").alias("pos"))
-    gone = written(gone.unionByName(copies.select("row", F.array(F.lit(-1)).alias("pos"))), "removed")
+    # A document's places are bounded by its words, whatever the number of equal rows.  Of the 64 bits
+    # of ``row`` some pairs of rows in 10 ** 10 agree; rows of one id practically never do.
+    gone = removed.groupBy("id", "row").agg(F.collect_set("pos").alias("pos"))
+    gone = written(gone.unionByName(copies.select("id", "row", F.array(F.lit(-1)).alias("pos"))), "removed")
 
     def keep(batches):
         for batch in pieces(batches):
@@ -245,5 +246,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n.append(len(words)), lost.append(len(words) - len(left)), kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
-    joined = src.join(gone, "row", "left").select("id", "text", "pos")
+    joined = src.join(gone, ["id", "row"], "left").select("id", "text", "pos")
     return joined.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
