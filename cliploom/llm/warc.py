@@ -313,9 +313,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("hex", F.sha1("payload"))
-    last = written(rows.groupBy("hex").agg(F.max("page_id").alias("last")), "warc-last")
-    joined = rows.join(last, "hex")
-    revisit = ~F.col("page_id").eqNullSafe(F.col("last"))
+    # Only payloads that repeat; where they are few, Spark broadcasts them and no payload is shuffled.
+    repeated = rows.groupBy("hex").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = rows.join(written(repeated.select("hex", "last"), "warc-last"), "hex", "left")
+    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select(
         "page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), base32_digest("hex").alias("digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(revisit, "revisit").otherwise("response").alias("record_type"),
