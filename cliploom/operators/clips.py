@@ -71,11 +71,13 @@ def shard_stats(clips: DataFrame, length: int, frame_bytes: int = 1) -> DataFram
 
 
 def totals(shard_rows: DataFrame) -> DataFrame:
-    """Counts of a pack: clips of the first camera only, everything else of all cameras."""
-    first = F.min("camera").over(Window.partitionBy())
-    own = F.when(F.col("camera").eqNullSafe(F.col("first")), F.col("num_clips")).otherwise(0)
-    return shard_rows.withColumn("first", first).agg(
-        F.count(F.lit(1)).alias("num_shards"), F.sum(own).alias("total_clips"), F.sum("num_frames").alias("total_frames"), F.sum("size_bytes").alias("total_size_bytes")
+    """Counts of a pack: clips of the first camera only, everything else of all cameras.  Shards are summed by camera first."""
+    g = shard_rows.groupBy("camera").agg(F.count(F.lit(1)).alias("n"), F.sum("num_clips").alias("clips"), F.sum("num_frames").alias("frames"), F.sum("size_bytes").alias("bytes"))
+    return g.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_shards"),
+        F.coalesce(F.min_by("clips", "camera"), F.max("clips")).alias("total_clips"),  # without a named camera there is one group
+        F.sum("frames").alias("total_frames"),
+        F.sum("bytes").alias("total_size_bytes"),
     )
 
 

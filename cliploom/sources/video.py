@@ -19,6 +19,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
+from ..functions.scalar import stem
 from .decoders import check_name, opened
 
 META = "path string, fps double, num_frames int, duration_sec double, width int, height int, codec string, size_bytes bigint, mtime_ns bigint, error string"
@@ -179,3 +180,25 @@ def camera_listing(spark: SparkSession, folder: str, cameras: list[str], pattern
     each = [listing(spark, f"{folder.rstrip('/')}/{c}", pattern).withColumn("camera", F.lit(c)) for c in cameras]
     order = F.row_number().over(Window.partitionBy("camera").orderBy("path")) - 1
     return reduce(DataFrame.unionByName, each).select("camera", order.alias("episode_ord"), "path", "size")
+
+
+MAX_FILES = 1_000_000  #: up to so many file names are broadcast to be joined to their frames
+
+
+def episode_frames(spark: SparkSession, folder: str, cameras: list[str] | None = None, backend: str = "auto", pattern: str = "*.mp4", strict: bool = False) -> DataFrame:
+    """(episode, camera, frame_idx, height, width, channels, data) of a folder's videos, or of a subfolder for each camera.
+
+    An episode is named after its file; with cameras, after that of the first camera, matched by order.
+    """
+    register(spark)
+    if cameras:
+        files = camera_listing(spark, folder, cameras, pattern)
+        names = files.filter(F.col("camera") == cameras[0]).select("episode_ord", stem(F.col("path")).alias("episode"))
+        files = files.join(names, "episode_ord").select("episode", "camera", "path")
+    else:
+        files = listing(spark, folder, pattern).select(stem(F.col("path")).alias("episode"), F.lit(None).cast("string").alias("camera"), "path")
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    paths = [r["path"] for r in files.select("path").orderBy("path").collect()]  # a partition each, so planning needs them
+    frames = spark.read.format("video").options(path=",".join(paths), backend=backend, strict=str(strict)).load()
+    known = F.broadcast(files) if len(paths) <= MAX_FILES else files
+    return frames.join(known, "path").select("episode", "camera", F.col("frame_idx").cast("long").alias("frame_idx"), "height", "width", "channels", "data")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cliploom import benchmark, cli
 from cliploom.functions.pixels import area_resize, bgr_to_rgb
+from cliploom.functions.position import with_ordered_position
 from cliploom.plans import pack as P
 from cliploom.sources import decoders, index_file, mp4, video
 from cliploom.streaming import ingest
@@ -180,3 +181,48 @@ def test_benchmark(spark, tmp_path):
     assert benchmark.load(spark, str(tmp_path / "r.json")).first()["name"] == "range"
     benchmark.report([r], str(tmp_path / "r.html"))
     assert "range" in (tmp_path / "r.html").read_text()
+
+
+def test_videos_to_shards(spark, tmp_path):
+    for c in ("left", "right"):
+        (tmp_path / "in" / c).mkdir(parents=True)
+        for e in range(2):
+            np.save(tmp_path / "in" / c / f"episode_{e}.npy", np.full((20, 4, 6, 3), 10 * e, np.uint8))
+    out = str(tmp_path / "out")
+    assert cli.main(["pack", str(tmp_path / "in"), out, "--videos", "*.npy", "--cameras", "left,right", "--clip-length", "8", "--resolution", "3x2"]) == 0
+    m = P.load_manifest(spark, out)
+    assert m["stats"]["total_clips"] == 4 and m["stats"]["total_frames"] == 64 and len(m["pack_config"]["source_hash"]) == 16 and m["pack_config"]["resolution"] == [3, 2]
+    rows = P.Shards(spark, out, "right").clip(0).collect()
+    assert len(rows) == 8 and {(r["height"], r["width"], len(r["data"])) for r in rows} == {(2, 3, 18)}
+    one = str(tmp_path / "one")
+    assert cli.main(["pack", str(tmp_path / "in" / "left"), one, "--videos", "*.npy", "--clip-length", "8"]) == 0
+    assert len(P.Shards(spark, one)) == 4
+    plain = spark.createDataFrame([("a", None, 0, b"")], ingest.FRAMES)
+    with pytest.raises(ValueError, match="height"):
+        P.pack_shards(plain, P.PackConfig(out, resolution=(3, 2)))
+
+
+def test_fingerprint(frames):
+    h = P.fingerprint(frames)
+    assert h == P.fingerprint(frames.orderBy(F.desc("frame_idx")).repartition(5)) and h != P.fingerprint(frames.filter("not (episode = 'episode_1' and frame_idx = 3)"))
+
+
+def test_ordered_position(spark):
+    rows = [(f"episode_{k:04d}" if k else None, s) for k in range(600) for s in (0, 8)]
+    df = with_ordered_position(spark.createDataFrame(rows, "episode string, start long").repartition(7), "episode", "start")
+    assert [tuple(r) for r in df.orderBy("position").select("episode", "start", "position").collect()] == [(*r, k) for k, r in enumerate(rows)]
+    assert with_ordered_position(df.drop("position").limit(0), "episode", "start").count() == 0
+
+
+def test_decode_benchmark(tmp_path, capsys):
+    video, results = str(tmp_path / "v.npy"), tmp_path / "results"
+    np.save(video, np.zeros((40, 4, 4, 3), np.uint8))
+    for mode in benchmark.SEEK_MODES:
+        assert cli.main(["bench", video, "--num-trials", "6", "--seek-mode", mode, "--output", str(results / f"{mode}.json")]) == 0
+    r = benchmark.BenchmarkResult.from_json((results / "random.json").read_text())
+    assert r.num_trials == 6 and r.clip_length == 16 and r.throughput > 0 and r.p50 <= r.p99 and r.seek_mode == "random"
+    assert cli.main(["report", str(results), str(tmp_path / "r.html")]) == 0 and (tmp_path / "r.html").exists()
+    assert cli.main(["report", str(tmp_path / "none"), str(tmp_path / "r.html")]) == 1
+    assert [x.name for x in benchmark.run_all(video, str(tmp_path / "all"), ("npy", "decord"), num_trials=2)] == ["npy"]
+    with pytest.raises(ValueError):
+        benchmark.DecodeConfig(video, seek_mode="backwards")
