@@ -8,7 +8,9 @@ memory, best first.
 Every vector goes to the list of its nearest centroid; a vector near a boundary goes to further
 lists too, up to ``replicas``, where the centroid is at most ``1 + boundary`` times as far and not
 nearer to a centroid already chosen than to the vector.  A query reads the lists of centroids at
-most ``1 + prune`` times as far as its nearest one, up to ``probes``.
+most ``1 + prune`` times as far as its nearest one, up to ``probes``.  There are at most
+``lists_per_probe`` lists for each of these, so that the share of lists that a query may read
+doesn't fall as the table grows: a larger table has longer lists, not more.
 
 Lists and queries meet in blocks of bounded size, so a list that holds a third of all vectors is
 as many tasks.  Of equal vectors only the ``top + 1`` smallest ids are listed: no other can be
@@ -36,6 +38,7 @@ class Settings:
     replicas: int = 4
     boundary: float = 0.15
     probes: int = 64
+    lists_per_probe: int = 4  #: vectors without clusters need about a quarter of the lists
     prune: float = 0.25
     degree: int = 16  #: of the centroid graph
     beam: int = 96  #: candidates held while it is searched
@@ -232,7 +235,7 @@ def fit(rows: DataFrame, n: int, longest: float, s: Settings) -> Model:
     """On the ``s.sample`` rows, about, whose seeded hash lies under a threshold."""
     upto = min(2**63 - 1, int(-(2**63) + min(1.0, s.sample / max(n, 1)) * 2**64))
     sample = rows.filter(F.xxhash64(F.lit(s.seed), "id") <= upto).select("id", "v")
-    wanted = max(1, min(s.max_lists, n // s.list_size, s.sample // 4))
+    wanted = max(1, min(s.max_lists, s.lists_per_probe * s.probes, n // s.list_size, s.sample // 4))
     parts = 1 << (wanted.bit_length() - 1)
 
     def run(batches):

@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from cliploom.llm import components, decontaminate, near_dedup, queries, sharding, substring, words
+from cliploom.llm import ann, components, decontaminate, near_dedup, queries, sharding, substring, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -219,6 +220,22 @@ def test_recall_of_nearest(spark, duck):
     assert hit / (20 * len(found)) >= 0.9
 
 
+def test_recall_of_nearest_holds_with_many_lists_wanted(spark):
+    """Directions without clusters, and a table large enough, for its list size, for 4096 lists."""
+    v = np.random.default_rng(3).normal(size=(34_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.array(list(v))}))
+    found = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 200 == 0, s=ann.Settings(list_size=8)).collect():
+        found[r["query_id"]].add(r["id"])
+    hit = 0
+    for q in range(0, len(v), 200):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (20 * 170) >= 0.9
+
+
 def test_pipeline(spark, duck):
     """Each stage against the operator's own answer on the stage's input."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
