@@ -13,13 +13,14 @@ rule out blocks; only postings of blocks that remain are added up.  What is over
 retrieved, all of it; nothing is ranked or cut.
 
 Retrieved items are verified: both question and answer must overlap with the words around the
-passage.
+passage.  Items of a few words are not indexed; they are found by their whole word sequence.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import limit_arrow_batches, written
-from .words import WORDS_ONLY, hash_words, pieces, tokenize
+from .words import WORDS_ONLY, hash_words, pieces, tokenize, windows
 
 TERM = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")  #: what tokenize() takes for words
 
@@ -43,7 +44,7 @@ class Settings:
     light: float = 0.25  #: share of a segment's weight in terms that the first pass leaves out
     overlap: float = 0.5  #: of the word n-grams of question and of answer
     gram: int = 3
-    min_words: int = 5  #: items of fewer words are too common to search for
+    min_words: int = 5  #: items of fewer words are searched for by their whole word sequence
     k1: float = 1.2
     b: float = 0.75
     block: int = 32  #: segments
@@ -83,17 +84,26 @@ def overlap(part: list[str], words: list[str], n: int) -> float:
     return len(own & {tuple(words[i : i + m]) for i in range(len(words) - m + 1)}) / len(own) if own else 1.0
 
 
+def segments_of(words: list[str], s: Settings) -> list[Counter]:
+    """What is indexed of an item; nothing of one of fewer than ``s.min_words`` words."""
+    return [Counter(words[at : at + s.segment]) for at in range(0, max(1, len(words) - s.min_words), s.segment)] if len(words) >= s.min_words else []
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]], s: Settings) -> None:
-        self.s, self.parts, segments, self.item = s, {}, [], []
-        for item, text in items:
+        self.s, self.parts, segments, self.entry = s, [], [], []
+        self.id = [item for item, _ in items]  # by entry, as items may share an id
+        by_length: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        for entry, (_, text) in enumerate(items):
             w = terms(text)
-            if len(w) < s.min_words:
-                continue
-            self.parts[item] = question_and_answer(text)
-            for at in range(0, max(1, len(w) - s.min_words), s.segment):
-                segments.append(Counter(w[at : at + s.segment]))
-                self.item.append(item)
+            self.parts.append(question_and_answer(text) if len(w) >= s.min_words else ([], []))
+            if 0 < len(w) < s.min_words:
+                by_length.setdefault(len(w), {}).setdefault(tuple(w), []).append(entry)
+            own = segments_of(w, s)
+            segments += own
+            self.entry += [entry] * len(own)
+        # By length: sorted keys of the short items' word sequences, and their entries.
+        self.short = {k: (np.unique(windows(hash_words([t for w in of for t in w], WORDS_ONLY), k)[::k]), of) for k, of in by_length.items()}
         n, df = len(segments), Counter(t for seg in segments for t in seg)
         mean = sum(sum(seg.values()) for seg in segments) / max(n, 1)
         self.term = {t: k for k, t in enumerate(df)}
@@ -192,27 +202,50 @@ class Index:
         d = np.searchsorted(np.cumsum(passages), chosen, "right")
         return np.stack([d, (chosen - base[d]) * s.stride], 1)
 
+    def short_items(self, hashes: np.ndarray, ends: np.ndarray, words_of: Callable[[int], list[str]]) -> Iterator[tuple[int, int]]:
+        """(document, entry) of the short items whose words follow each other in a document."""
+        for length, (keys, of) in self.short.items():
+            key = windows(hashes, length)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + length <= ends[doc]
+            at, doc = at[inside], doc[inside]
+            done: set[tuple[int, int]] = set()
+            for d, i, k in zip(doc.tolist(), at.tolist(), key[at].tolist(), strict=True):
+                if (d, k) not in done:
+                    start = i - (int(ends[d - 1]) if d else 0)
+                    entries = of.get(tuple(words_of(d)[start : start + length]), [])
+                    done |= {(d, k)} if entries else set()
+                    yield from ((d, e) for e in entries)
+
     def check(self, texts: pa.Array) -> list[tuple[list[int], float]]:
         """For each text, the items that it holds and the best score of a verified one."""
         s, t = self.s, tokenize(texts, WORDS_ONLY, lower=True)
         ids, ends = self.ids(t.hashes), t.ends
         best: list[dict[int, float]] = [{} for _ in range(len(texts))]
         words: dict[int, list[str]] = {}
+
+        def words_of(doc: int) -> list[str]:
+            nonlocal words
+            if doc not in words:
+                words = {doc: terms(texts[doc].as_py())}
+            return words[doc]
+
+        for doc, entry in self.short_items(t.hashes, ends, words_of):
+            best[doc][entry] = 1.0
         for doc, at in self.candidates(ids, ends).tolist():
             start, own = (ends[doc - 1] if doc else 0) + at, best[doc]
             found = ids[start : min(start + s.passage, ends[doc])]
             scores: dict[int, float] = {}
             for d, score in self.search(np.unique(found[found >= 0])):
-                scores[self.item[d]] = max(score, scores.get(self.item[d], 0.0))
-            if scores and doc not in words:
-                words = {doc: terms(texts[doc].as_py())}
-            for item, score in scores.items():
-                w = words[doc]
-                q, a = self.parts[item]
+                scores[self.entry[d]] = max(score, scores.get(self.entry[d], 0.0))
+            for entry, score in scores.items():
+                w = words_of(doc)
+                q, a = self.parts[entry]
                 around = w[max(0, at - len(q) - len(a)) : at + s.passage + len(q) + len(a)]
-                if item in own or (overlap(q, around, s.gram) >= s.overlap and overlap(a, around, s.gram) >= s.overlap):
-                    own[item] = max(score, own.get(item, 0.0))
-        return [(sorted(x), max(x.values(), default=0.0)) for x in best]
+                if entry in own or (overlap(q, around, s.gram) >= s.overlap and overlap(a, around, s.gram) >= s.overlap):
+                    own[entry] = max(score, own.get(entry, 0.0))
+        return [(sorted({self.id[e] for e in x}), max(x.values(), default=0.0)) for x in best]
 
 
 def decontaminate(
@@ -221,8 +254,10 @@ def decontaminate(
     """``docs`` with contaminated boolean, items array<long> (sorted) and best_score double.
 
     * Every passage of every whole text is a query.  A null or empty text is clean.
-    * Items without an id, with a null text or with fewer than ``s.min_words`` words are not
-      searched for.  Items of one id, and equal items, are all searched.
+    * Items without an id, with a null text or without words are not searched for.  Items of
+      one id, and equal items, are all searched.
+    * Items of fewer than ``s.min_words`` words contaminate where all their words follow each
+      other in a text, with score 1.
     * An empty benchmark leaves all rows clean.  Repeated rows get equal results.
     * Columns of the three names are replaced; all others stay, whatever their names.
 
@@ -238,7 +273,8 @@ def decontaminate(
     out = docs.drop(*new).select("*", F.lit(False).alias("contaminated"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("best_score"))
     for turn in range(turns):
         part = items if turns == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn)
-        shared = spark.sparkContext.broadcast(Index([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], s))
+        part = [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
+        shared = spark.sparkContext.broadcast(Index(part, s))
 
         def run(batches, shared=shared):
             index = shared.value

@@ -164,6 +164,17 @@ def test_decontamination_finds_what_brute_force_finds(spark, duck):
     assert got == want and all(want[i] for i in spliced)
 
 
+def test_short_items_are_found_verbatim(spark):
+    items = [(1, "2+2=? 4"), (2, "Paris"), (2, "capital of Peru: Lima"), (3, "4 2"), (4, "?!"), (5, "two plus two is four, they say in this very long item")]
+    texts = ["we know 2 + 2 = 4 for sure", "paris, PARIS", "Capital of Peru? LIMA", "2 2", "4", "capital of peru", "2 4 2", None, "", "parisian"]
+    want = [[1], [2], [2], [], [], [], [3], [], [], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for s in (decontaminate.Settings(), decontaminate.Settings(index_bytes=40)):
+        got = {r["doc_id"]: (r["items"], r["best_score"]) for r in decontaminate.decontaminate(df, bench, s=s).collect()}
+        assert [got[i] for i in range(len(texts))] == [(w, float(bool(w))) for w in want]
+
+
 def test_index_retrieves_all_above_threshold():
     rng = random.Random(2)
     vocab = [f"t{i}" for i in range(300)]
