@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +90,18 @@ def segments_of(words: list[str], s: Settings) -> list[Counter]:
     return [Counter(words[at : at + s.segment]) for at in range(0, max(1, len(words) - s.min_words), s.segment)] if len(words) >= s.min_words else []
 
 
+class Statistics(NamedTuple):
+    """Of all segments of a benchmark."""
+
+    segments: int
+    mean: float  #: words of a segment
+    df: dict[str, int]  #: segments that hold a term
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], s: Settings) -> None:
+    """Of all items, or of a part of them with the statistics of all."""
+
+    def __init__(self, items: list[tuple[int, str]], s: Settings, whole: Statistics | None = None) -> None:
         self.s, self.parts, segments, self.entry = s, [], [], []
         self.id = [item for item, _ in items]  # by entry, as items may share an id
         by_length: dict[int, dict[tuple[str, ...], list[int]]] = {}
@@ -104,10 +115,10 @@ class Index:
             self.entry += [entry] * len(own)
         # By length: sorted keys of the short items' word sequences, and their entries.
         self.short = {k: (np.unique(windows(hash_words([t for w in of for t in w], WORDS_ONLY), k)[::k]), of) for k, of in by_length.items()}
-        n, df = len(segments), Counter(t for seg in segments for t in seg)
-        mean = sum(sum(seg.values()) for seg in segments) / max(n, 1)
-        self.term = {t: k for k, t in enumerate(df)}
-        found = hash_words(list(df), WORDS_ONLY)
+        n, local = len(segments), Counter(t for seg in segments for t in seg)
+        total_n, mean, df = whole or Statistics(n, sum(sum(seg.values()) for seg in segments) / max(n, 1), local)
+        self.term = {t: k for k, t in enumerate(local)}
+        found = hash_words(list(local), WORDS_ONLY)
         self.term_order = np.argsort(found)
         self.term_hashes = found[self.term_order]
         self.may_be = np.zeros(1 << 20, bool)  # by the first bits of the hash
@@ -117,7 +128,7 @@ class Index:
         self.least = np.zeros(n)  # what essential terms must bring
         for d, seg in enumerate(segments):
             length = sum(seg.values())
-            raw = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * length / mean)) for t, f in seg.items()}
+            raw = {t: np.log(1 + (total_n - df[t] + 0.5) / (df[t] + 0.5)) * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * length / mean)) for t, f in seg.items()}
             total, light = sum(raw.values()), 0.0
             for t in sorted(raw, key=lambda t: (raw[t], len(t), t)):  # of equal weight, the longer word is the rarer in running text
                 light += raw[t] / total
@@ -248,6 +259,27 @@ class Index:
         return [(sorted({self.id[e] for e in x}), max(x.values(), default=0.0)) for x in best]
 
 
+def count_terms(items: DataFrame, s: Settings) -> DataFrame:
+    """(term, df, words): the segments that hold each term; under the null term all segments and their words."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            segments = [seg for text in batch.column("text").to_pylist() for seg in segments_of(terms(text), s)]
+            df = Counter(t for seg in segments for t in seg)
+            words = sum(sum(seg.values()) for seg in segments)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.string()), pa.array([len(segments), *df.values()], pa.int64()), pa.array([words, *[0] * len(df)], pa.int64())], ["term", "df", "words"])
+
+    counts = items.select("text").mapInArrow(run, "term string, df long, words long")
+    return written(counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "terms")
+
+
+def statistics_for(part: list[tuple[int, str]], counts: DataFrame, s: Settings) -> Statistics:
+    """Of all items, as to the terms of a part of them."""
+    n, words = counts.filter("term is null").select("df", "words").first()
+    own = counts.sparkSession.createDataFrame(pa.table({"term": pa.array(sorted({t for _, text in part for seg in segments_of(terms(text), s) for t in seg}), pa.string())}))
+    return Statistics(n, words / max(n, 1), dict(counts.join(own, "term", "left_semi").select("term", "df").collect()))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", s: Settings = Settings()
 ) -> DataFrame:
@@ -262,19 +294,22 @@ def decontaminate(
     * Columns of the three names are replaced; all others stay, whatever their names.
 
     The index is broadcast; it is built from ``s.index_bytes`` of item text at most.  A larger
-    benchmark is split by a hash of the text and searched in as many turns over the documents.
+    benchmark is split by a hash of the text and searched in as many turns over the documents, by
+    the statistics of all its segments, so that the results are those of one index but for the order of
+    sums in a score.
     """
     spark = docs.sparkSession
     limit_arrow_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).dropna()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     turns = max(1, -(-size // s.index_bytes))
+    counts = count_terms(items, s) if turns > 1 else None
     new = {"contaminated": "boolean", "items": "array<bigint>", "best_score": "double"}
     out = docs.drop(*new).select("*", F.lit(False).alias("contaminated"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("best_score"))
     for turn in range(turns):
         part = items if turns == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(turns)) == turn)
         part = [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Index(part, s))
+        shared = spark.sparkContext.broadcast(Index(part, s, statistics_for(part, counts, s) if turns > 1 else None))
 
         def run(batches, shared=shared):
             index = shared.value

@@ -175,6 +175,20 @@ def test_short_items_are_found_verbatim(spark):
         assert [got[i] for i in range(len(texts))] == [(w, float(bool(w))) for w in want]
 
 
+def test_turns_give_the_results_of_one_index(spark):
+    rng = random.Random(5)
+    vocab = [f"t{min(rng.randrange(400), rng.randrange(400))}" for _ in range(400)]
+    items = [(i % 25, " ".join(rng.choices(vocab, k=rng.randrange(6, 90)))) for i in range(30)]
+    rows = []
+    for i in range(120):
+        w = items[i % 30][1].split()
+        kept = [x if rng.random() < 0.8 else rng.choice(vocab) for x in w]
+        rows.append((i, " ".join([*rng.choices(vocab, k=20), *kept, *rng.choices(vocab, k=20)])))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r["doc_id"]: (r["items"], round(r["best_score"], 12)) for r in decontaminate.decontaminate(df, bench, s=s).collect()} for s in (decontaminate.Settings(), decontaminate.Settings(index_bytes=1500)))
+    assert one == many and any(0.5 < score < 1 for _, score in one.values())
+
+
 def test_index_retrieves_all_above_threshold():
     rng = random.Random(2)
     vocab = [f"t{i}" for i in range(300)]
