@@ -10,6 +10,7 @@ from cliploom.llm.store import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_QUALITY = 0.7
+NO_ID = 1 << 62  #: keys of rows without an id start here
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +21,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of smallest id; rows that repeat it, id and text, count once."""
-    classes = near_dedup.near_duplicates(docs)
-    first = classes.filter("is_representative and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """Of each class of near duplicates the document of smallest id; rows that repeat it, id and text, count once.
+
+    Rows without an id go by a hash of their text, after all ids under 2^62.  Of rows with neither id nor text all stay.
+    """
+    numbered = docs.filter("doc_id is not null").select(*COLUMNS, F.col("doc_id").cast("long").alias("key"))
+    hashed = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    others = docs.filter("doc_id is null and text is not null").select(*COLUMNS).dropDuplicates(["text"]).withColumn("key", hashed)
+    keyed = numbered.unionByName(others)
+    first = near_dedup.near_duplicates(keyed, "key").filter("is_representative").select("key").distinct()
+    kept = keyed.join(first, "key", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id is null and text is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

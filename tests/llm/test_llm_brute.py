@@ -261,6 +261,16 @@ def test_recall_of_nearest_holds_with_many_lists_wanted(spark):
     assert hit / (20 * 170) >= 0.9
 
 
+def test_pipeline_reduces_rows_without_an_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
+    rows = [(7, one), (None, one), (None, one + " more"), (None, two), (None, two), (None, two + " more"), (3, three), (3, three), (None, None), (None, None), (None, "short")]
+    df = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, df, "").collect()]
+    of_two = [r for r in got if r in ((None, two), (None, two + " more"))]
+    assert len(of_two) == 1
+    assert sorted(got, key=str) == sorted([(7, one), (3, three), (None, None), (None, None), (None, "short"), *of_two], key=str)
+
+
 def test_pipeline(spark, duck):
     """Each stage against the operator's own answer on the stage's input."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
