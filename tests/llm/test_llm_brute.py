@@ -114,7 +114,7 @@ def test_components(spark):
     assert got == {i: root(i) for i in parent}
 
 
-def test_substring_in_slices(spark):
+def test_substring_in_chunks_and_ranges(spark):
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(30)]
     rows = []
@@ -134,10 +134,34 @@ def test_substring_in_slices(spark):
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for s in (substring.Settings(), substring.Settings(min_cells=64, max_cells=64, chunk=64), substring.Settings(copies=0)):
+    small = substring.Settings(chunk_bytes=300, range_cells=1 << 12, group_windows=16, chunk_rows=3)
+    for s in (substring.Settings(), small, substring.Settings(broadcast_keys=0), substring.Settings(depth=1, cells_per_window=0.01)):
         assert {r["doc_id"]: r["kept_text"] for r in substring.substring_dedup(df, s=s).collect()} == want
 
 
+def test_substring_reads_the_corpus_as_often_whatever_the_ranges(spark):
+    read, packed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % (50 + i)}" for k in range(100))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    real, times = substring._windows, []
+    substring._windows = lambda data, s, n: (packed.add(1), real(data, s, n))[1]
+    try:
+        for s in (substring.Settings(chunk_rows=7), substring.Settings(chunk_rows=7, range_cells=1 << 12, group_windows=16)):  # 1 range of a row, and 16
+            before = read.value, packed.value
+            substring.substring_dedup(df, s=s).count()
+            chunks = spark.sparkContext.defaultParallelism * -(-(60 // spark.sparkContext.defaultParallelism) // 7)
+            times.append((read.value - before[0], (packed.value - before[1]) / chunks))
+    finally:
+        substring._windows = real
+    assert times[0] == times[1] and times[0][0] <= 4 * len(rows) and times[0][1] == 2
+
+
 def test_tokens_are_pythons():
     texts = ["", None, "a  b\tc d", "x" * 3_000_000 + " y", " é ü ", "a\x1cb"]
     t = words.tokenize(pa.array(texts))
