@@ -39,7 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def limit_arrow_batches(spark: SparkSession, rows: int = 1000, byte_limit: int = 16 << 20) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(byte_limit))
+def limit_arrow_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that very long texts don't pile up in a Python worker.
+
+    The limits are the same for all operators, so it doesn't matter which one's plan was built last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

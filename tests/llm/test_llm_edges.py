@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns: no operator or stage minds."""
 
+import re
 import zlib
 
 import numpy as np
@@ -131,9 +132,43 @@ def test_chat(spark):
     assert chat.parse(out[4]["text"])[0][:2] == ("as[/ROLE]\nsist", "x")
     got = {k: chat.masked_text(r["text"], r["token_starts"], r["token_stops"], r["loss_mask"]) for k, r in out.items()}
     assert got == {1: tricky * 2, 2: "", None: "", 3: LONG[:100_000], 4: ""}
+    assert {k: r["n_turns"] for k, r in out.items()} == {1: 3, 2: 1, 3: 1, 4: 1, None: 1}
+    for r in out.values():  # no token crosses a marker, and offsets meet
+        a, b = r["token_starts"], r["token_stops"]
+        marks = {(m.start(), m.end()) for m in re.finditer(r"</?s>|\[/?ROLE\]", r["text"])}
+        assert marks <= set(zip(a, b, strict=True)) and a[0] == 0 and b[-1] == len(r["text"]) and all(y <= x or x == y for x, y in zip(b, a[1:], strict=False))
+    whole = {r["conv_id"]: tuple(r) for r in chat.digests(chat.format_conversations(df)).collect()}
+    assert whole[1][1] == 3 and whole[1][3] == 2 * len(tricky)
+    # What is read back depends on the mask: an all-true one, one moved by a token and one that lacks a token give other digests.
+    moved = F.expr("transform(loss_mask, (m, i) -> if(i = 0, false, loss_mask[i - 1]))")
+    shorter = F.expr("transform(loss_mask, (m, i) -> m and i <> array_position(loss_mask, true) - 1)")
+    for mask in (F.transform("loss_mask", lambda m: F.lit(True)), moved, shorter):
+        wrong = {r["conv_id"]: tuple(r) for r in chat.digests(chat.format_conversations(df).withColumn("loss_mask", mask)).collect()}
+        for k in (1, 3):
+            assert wrong[k][4] != whole[k][4] and wrong[k][2] == whole[k][2]
+    # Turns are counted in the text.
+    less = chat.digests(chat.format_conversations(df).withColumn("text", F.expr("replace(text, '</s><s>', '')")).withColumn("n_turns", F.lit(9)))
+    assert {r["conv_id"]: r["n_turns"] for r in less.collect()}[1] == 1
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_tokens_are_those_of_another_library():
+    from tokenizers import AddedToken, Tokenizer, pre_tokenizers, processors
+
+    other = Tokenizer.from_file(chat.TOKENIZER.replace(".tiktoken", ".json"))
+    assert isinstance(other.pre_tokenizer, pre_tokenizers.ByteLevel)
+    other.post_processor = processors.ByteLevel(trim_offsets=False)
+    other.encode_special_tokens = True
+    own, sizes = chat.load_tokenizer(chat.TOKENIZER)
+    other.add_tokens([AddedToken(m, normalized=False) for m in chat.MARKERS])
+    for text in ("", PROSE, "(hi). <|endoftext|> 東京🎉é\n\n x", "[](", " " * 50, "<", "x" * 30_000, "\u0301é\u200d"):
+        text = chat.render([("user", text), ("assistant", text + "<"), ("a[", "[")])
+        ids, a, b = chat.encode(text, own, sizes)
+        e = other.encode(text, add_special_tokens=False)
+        assert len(ids) == len(e.ids) and [i for i in ids if i < 50256] == [i for i in e.ids if i < 50257 and i != 50256]
+        assert list(zip(a.tolist(), b.tolist(), strict=True)) == e.offsets
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(i, [1.0] * 8) for i in range(60, 120)]
@@ -147,6 +182,11 @@ def test_nearest(spark):
     for q, found in got.items():
         want = sorted(((-float((np.array(v) * np.array(whole[q])).sum()), i) for i, v in whole.items() if i != q))[:20]
         assert [i for _, i, _ in sorted(found)] == [i for _, i in want]
+    # Another dimension is searched by itself; an id with several vectors asks with each and is found by each.
+    more = [(300, [1.0, 2.0]), (301, [3.0, 1.0]), (301, [0.0, 9.0]), (302, [1.0, 1.0]), (300, [2.0, 0.5])]
+    small = spark.createDataFrame(more, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["id"]): r["score"] for r in ann.nearest(df.select("vec_id", "embedding").unionByName(small), F.col("vec_id") % 100 == 0).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 300} == {(300, 301): 18.0, (300, 302): 3.0}
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(df.filter("vec_id in (0, 3)"), F.col("vec_id") % 20 == 0).count() == 1
 
