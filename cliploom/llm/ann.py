@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by inner product, with balanced posting lists.
 
 Vectors get one more component so that all have one length; the largest inner product then is the
-smallest distance.  A bounded sample is cut into clusters of equal size by repeated balanced
-bisection; the centroids, brought to the vectors' length, are few enough to be broadcast, with a neighbour graph that is searched in
-memory, best first.
+smallest distance.  A sample is cut into clusters of equal size by repeated balanced bisection, one
+list for ``list_size`` vectors; a large number of lists is fitted in two levels, the second cell by
+cell.  The centroids, brought to the vectors' length, are broadcast (``max_lists`` at most), with a
+neighbour graph that is searched in memory, best first.
 
 Every vector goes to the list of its nearest centroid; a vector near a boundary goes to further
-lists too, up to ``replicas``, where the centroid is at most ``1 + boundary`` times as far and not
-nearer to a centroid already chosen than to the vector.  A query reads the lists of centroids at
-most ``1 + prune`` times as far as its nearest one, up to ``probes``.  There are at most
-``lists_per_probe`` lists for each of these, so that the share of lists that a query may read
-doesn't fall as the table grows: a larger table has longer lists, not more.
-
-Lists and queries meet in blocks of bounded size, so a list that holds a third of all vectors is
-as many tasks.  Of equal vectors only the ``top + 1`` smallest ids are listed: no other can be
+lists too, up to ``replicas``, where the centroid is at most ``1 + boundary`` times as far.  A query
+reads the lists of its ``least`` nearest centroids, and further ones as long as their distance is at
+most ``ratio`` times the nearest one's.  That ratio, and how many lists it can need, are measured on
+a sample when the index is fitted, so that ``recall`` of the sample's own neighbours would be found:
+few lists where vectors have clusters, and, as nothing less finds them, a share of all lists where
+vectors have none.
+
+Lists that lie beside each other form a shelf.  A shelf and its queries meet in blocks of bounded
+size, so a list that holds a third of all vectors is as many tasks; a block gives back the best of
+each query alone.  Of equal vectors only the ``top + 1`` smallest ids are listed: no other can be
 among the ``top`` nearest of any query, as ties go to the smaller id.
 """
 
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import limit_arrow_batches, written
@@ -32,17 +35,21 @@ from .store import limit_arrow_batches, written
 @dataclass(frozen=True)
 class Settings:
     top: int = 20
-    list_size: int = 128  #: vectors of a list to aim at
-    max_lists: int = 4096
-    sample: int = 20_000  #: vectors to fit on, at most
+    list_size: int = 200  #: vectors of a list to aim at, before replicas
+    max_lists: int = 1 << 16  #: bounds what is broadcast: some 20 MB for 64 components; lists are longer beyond it
+    sample_of_list: int = 64  #: vectors to fit on, for each list
+    cell: int = 256  #: lists that one task fits
     replicas: int = 4
-    boundary: float = 0.15
-    probes: int = 64
-    lists_per_probe: int = 4  #: vectors without clusters need about a quarter of the lists
-    prune: float = 0.25
+    boundary: float = 0.3
+    least: int = 32  #: lists that a query reads in any case
+    recall: float = 0.97  #: of neighbours in a sample, to be found in the lists read
+    measured: int = 8192  #: vectors of that sample
+    asked: int = 256  #: of which so many are queries
     degree: int = 16  #: of the centroid graph
     beam: int = 96  #: candidates held while it is searched
-    block: int = 2048  #: vectors, and queries, of a block
+    shelf: int = 16  #: lists compared together
+    block: int = 16_384  #: vectors of a block
+    query_block: int = 2048
     seed: int = 0
 
 
@@ -52,6 +59,8 @@ class Model:
     graph: np.ndarray  #: neighbours of each centroid
     entries: np.ndarray  #: centroids from which a search starts
     longest: float
+    ratio: float = 1.0  #: how much farther than the nearest centroid those of the lists read may be
+    probes: int = 1  #: lists read, at most
 
 
 def widened(x: np.ndarray, longest: float) -> np.ndarray:
@@ -72,16 +81,23 @@ def bisect(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarr
     return bisect(x[order[:half]], parts // 2, rng) + bisect(x[order[half:]], parts // 2, rng)
 
 
-def centroid_graph(c: np.ndarray, degree: int) -> np.ndarray:
-    """The nearest centroids of each, and a ring through all so that the graph is connected."""
-    n, k = len(c), min(degree, len(c) - 1)
-    near = np.empty((n, k), np.int32)
-    norm = (c * c).sum(1)
-    for a in range(0, n, 1024):
-        d = norm[a : a + 1024, None] + norm - 2 * c[a : a + 1024] @ c.T
-        d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared, less the length of x, which is the same for a row."""
+    return (c * c).sum(1) - 2 * x @ c.T
+
+
+def centroid_graph(c: np.ndarray, degree: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The nearest centroids of each from ``first`` to ``last``, and a ring through all so that the graph is connected."""
+    n, k, at = len(c), min(degree, len(c) - 1), np.arange(len(c))[first:last]
+    near = np.empty((len(at), k), np.int32)
+    for a in range(0, len(at), 1024):
+        d = distances(c[at[a : a + 1024]], c)
+        d[np.arange(len(d)), at[a : a + 1024]] = np.inf
         near[a : a + 1024] = np.argpartition(d, k - 1, axis=1)[:, :k] if k else 0
-    return np.hstack([near, ((np.arange(n) + 1) % n)[:, None], ((np.arange(n) - 1) % n)[:, None]]).astype(np.int32)
+    ring = np.stack([(at + 1) % n, (at - 1) % n], 1)
+    ring[(ring[:, :, None] == near[:, None, :]).any(2)] = -1
+    ring[:, 1][ring[:, 0] == ring[:, 1]] = -1
+    return np.hstack([near, np.where(ring < 0, at[:, None], ring)]).astype(np.int32)  # each neighbour once; the centroid itself fills up
 
 
 def search_graph(m: Model, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +113,13 @@ def search_graph(m: Model, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray
 
     def add(new: np.ndarray, r: np.ndarray) -> None:
         fresh = ~seen[r[:, None], new]
-        first = np.sort(new, axis=1)
-        order = np.argsort(new, axis=1, kind="stable")
-        dup = np.zeros(new.shape, bool)
-        dup[np.arange(len(new))[:, None], order[:, 1:]] = first[:, 1:] == first[:, :-1]
-        fresh &= ~dup
-        d = qq[r, None] + cc[new] - 2 * np.einsum("rkd,rd->rk", m.centroids[new], q[r])
-        d = np.where(fresh, d, np.inf).astype(np.float32)
-        seen[r[:, None], new] = True
+        i, j = np.nonzero(fresh)
+        at, c = r[i], new[i, j]
+        seen[at, c] = True
+        d = np.full(new.shape, np.inf, np.float32)
+        d[i, j] = qq[at] + cc[c] - 2 * np.einsum("pd,pd->p", m.centroids[c], q[at])
         all_d = np.hstack([dist[r], d])
-        keep = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+        keep = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
         ids[r] = np.take_along_axis(np.hstack([ids[r], new]), keep, 1)
         done[r] = np.take_along_axis(np.hstack([done[r], np.zeros(new.shape, bool)]), keep, 1)
         dist[r] = np.take_along_axis(all_d, keep, 1)
@@ -122,136 +135,280 @@ def search_graph(m: Model, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray
             break
         done[live, at] = True
         add(m.graph[ids[live, at]].astype(np.int64), live)
-    return ids[:, :k], np.maximum(dist[:, :k], 0)
+    order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(ids, order, 1), np.maximum(np.take_along_axis(dist, order, 1), 0)
 
 
 def lists_of_vectors(m: Model, x: np.ndarray, s: Settings) -> list[list[int]]:
-    ids, d = search_graph(m, x, 8 * s.replicas, s.beam // 2)
+    ids, d = search_graph(m, x, s.replicas, s.beam // 2)
+    d = np.sqrt(d)
+    return [row[ok].tolist() for row, ok in zip(ids, np.isfinite(d) & (d <= (1 + s.boundary) * d[:, :1]), strict=True)]
+
+
+def lists_of_queries(m: Model, q: np.ndarray, s: Settings) -> list[list[int]]:
+    probes = max(m.probes, s.least)
     out = []
-    for row, dist in zip(ids, np.sqrt(d), strict=True):
-        chosen = [int(row[0])]
-        for c, far in zip(row[1:].tolist(), dist[1:].tolist(), strict=True):
-            if len(chosen) == s.replicas or not far <= (1 + s.boundary) * dist[0]:
-                break
-            if all(float(((m.centroids[c] - m.centroids[o]) ** 2).sum()) > far * far for o in chosen):
-                chosen.append(c)
-        out.append(chosen)
+    for a in range(0, len(q), step := max(1, (1 << 22) // max(probes, s.beam))):  # bounds the search's memory
+        ids, d = search_graph(m, q[a : a + step], probes, s.beam)
+        d = np.sqrt(d)
+        near = (d <= m.ratio * d[:, :1]) | (np.arange(d.shape[1]) < s.least)
+        out += [row[ok].tolist() for row, ok in zip(ids, np.isfinite(d) & near, strict=True)]
     return out
 
 
-def lists_of_queries(m: Model, q: np.ndarray, s: Settings) -> list[list[int]]:
-    ids, d = search_graph(m, q, s.probes, s.beam)
-    d = np.sqrt(d)
-    return [row[ok].tolist() for row, ok in zip(ids, np.isfinite(d) & (d <= (1 + s.prune) * d[:, :1]), strict=True)]
+def as_query(x: np.ndarray, longest: float) -> np.ndarray:
+    """Brought to the listed vectors' length."""
+    x = np.hstack([x, np.zeros((len(x), 1))])
+    return (x * (longest / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30))).astype(np.float32)
+
+
+def measured(m: Model, x: np.ndarray, s: Settings) -> Model:
+    """``m`` with the ratio and the number of lists that find ``s.recall`` of the neighbours among the rows of ``x``."""
+    asks = np.random.default_rng(s.seed).permutation(len(x))[: s.asked]
+    if len(x) <= s.top or len(m.centroids) <= s.least:
+        return m
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -np.inf
+    near = np.argpartition(-score, s.top - 1, axis=1)[:, : s.top]
+    need, place = np.unique(near, return_inverse=True)
+    lists = lists_of_vectors(m, widened(x[need], m.longest), s)
+    lists = np.array([own + own[:1] * (s.replicas - len(own)) for own in lists])[place.reshape(near.shape)]  # query, neighbour, list
+    q = as_query(x[asks], m.longest)
+    far = np.sqrt(np.maximum((q * q).sum(1, keepdims=True) + distances(q, m.centroids), 0))
+    rank = np.empty(far.shape, np.int64)
+    np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.arange(far.shape[1])[None], 1)
+    flat = lists.reshape(len(asks), -1)
+    ranks, ratios = (np.take_along_axis(v, flat, 1).reshape(lists.shape).min(2) for v in (rank, far / np.maximum(far.min(1, keepdims=True), 1e-30)))
+    m.probes, m.ratio = int(np.quantile(ranks, s.recall)) + 1, float(np.quantile(ratios, 0.5 + s.recall / 2))
+    return m
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of rows that take part: no null, NaN or infinite component, not all zero, and of the most frequent dimension."""
+    """(id, v, dim, h) of rows that take part: no null, NaN or infinite component and not all zero; equal rows once."""
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    return rows.select("id", F.col("v"), F.size("v").alias("dim"))
+    return rows.select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h")).distinct()
+
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return np.array(flat.to_numpy(), np.float64).reshape(len(column), -1)
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.flatten().to_numpy(), np.float64).reshape(len(column), -1)
+
+FOUND = "query_id long, id long, score double"
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", s: Settings = Settings()) -> DataFrame:
     """(query_id, rank, id, score): for each row that ``is_query`` marks, the ``s.top`` rows of largest inner product that the lists give, itself left out.
 
-    * Rows with a null id, or a vector that is null, all zero or has a null or non-finite component
-      take no part, nor do rows of another dimension than most have.
+    * Rows with a null id, or a vector that is null, all zero or has a null or non-finite component take no part.
+    * Vectors of different dimension have no inner product: each dimension is searched by itself.
+      One with up to ``s.block`` rows, if it isn't the most frequent, is searched whole.
     * Nearest first; ties go to the smaller id.  Fewer rows than ``s.top`` give as many as there are.
-    * Ids are taken to be distinct; of repeated equal rows one is listed.
+    * Equal rows count once.  An id with several vectors asks with each and is found by each; it is
+      never its own neighbour, and of several scores with another id the largest counts.
     * Scores are exact, in double precision, on the vectors as given.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    limit_arrow_batches(spark, rows=4096)
-    marked = usable(vectors.withColumn(vector_col, F.col(vector_col)), id_col, vector_col)
-    dims = marked.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    if dims is None:
-        return empty
-    rows = written(marked.filter(F.col("dim") == dims["dim"]).select("id", "v", F.xxhash64("v").alias("h")).distinct(), "vectors")
-    n, longest = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    model = fit(rows, n, float(longest), s)
-    shared = spark.sparkContext.broadcast(model)
+    limit_arrow_batches(spark)
+    rows = written(usable(vectors, id_col, vector_col), "vectors")
+    asking = vectors.filter(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
+    queries = written(rows.select("id", "v", "dim").join(asking, "id", "left_semi"), "queries")
     # The smallest ids of equal vectors; first within slices, so that no task sees all copies.
     sliced = Window.partitionBy("h", "v", "slice").orderBy("id")
     listed = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("k", F.row_number().over(sliced)).filter(F.col("k") <= s.top + 1)
-    listed = listed.withColumn("k", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).filter(F.col("k") <= s.top + 1).select("id", "v")
-    asking = vectors.filter(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
-    queries = rows.select("id", "v").join(asking, "id", "left_semi")
+    listed = listed.withColumn("k", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).filter(F.col("k") <= s.top + 1)
+    listed = written(listed.select("id", "v", "dim"), "distinct-vectors")
+    sizes = listed.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"))
+    sizes = written(sizes, "dimensions")
+    largest = sizes.orderBy(F.desc("n"), "dim").first()
+    if largest is None:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    indexed = {r["dim"]: r for r in sizes.filter(F.col("n") > s.block).collect()} | {largest["dim"]: largest}  # no more than one for s.block rows
+    found = _searched_whole(listed.filter(~F.col("dim").isin(*indexed)), queries.filter(~F.col("dim").isin(*indexed)), s)
+    for dim, r in indexed.items():
+        of_dim = F.col("dim") == dim
+        found = found.unionByName(_searched(listed.filter(of_dim).drop("dim"), queries.filter(of_dim).drop("dim"), r["n"], float(r["longest"]), s))
+    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.top).select("query_id", "rank", "id", "score")
 
-    def dealt(frame: DataFrame, widen: bool) -> DataFrame:
-        def run(batches):
-            m = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    x = _matrix(batch.column("v"))
-                    x = widened(x, m.longest) if widen else np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
-                    found = lists_of_vectors(m, x, s) if widen else lists_of_queries(m, x * (m.longest / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)), s)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "lists"])
 
-        return written(frame.mapInArrow(run, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list")), "dealt")
+def _searched_whole(listed: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
+    """FOUND of dimensions of up to ``s.block`` rows each."""
+
+    def compare(x: pa.Table, q: pa.Table) -> pa.Table:
+        return _best(x, q, np.zeros(x.num_rows, np.int64), [[0]] * q.num_rows, s.top)
+
+    return listed.groupBy("dim").cogroup(queries.groupBy("dim")).applyInArrow(compare, FOUND)
+
+
+def _searched(listed: DataFrame, queries: DataFrame, n: int, longest: float, s: Settings) -> DataFrame:
+    """FOUND of vectors of one dimension, by lists."""
+    shared = listed.sparkSession.sparkContext.broadcast(fit(listed, n, longest, s))
+
+    def deal(batches):
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                found = lists_of_vectors(m, widened(_matrix(batch.column("v")), m.longest), s)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "lists"])
 
-    listed, queries = dealt(listed, True), dealt(queries, False)
-    # One row for each list: s.max_lists at most.
-    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("vb"))
-    asked = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("qb"))
-    blocks = F.broadcast(written(sizes.join(asked, "list"), "blocks"))
-    left = listed.join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("vb")).cast("int").alias("vi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"), "id", "v")
-    right = queries.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("vi"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("qi"), "id", "v")
+    def ask(batches):
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                shelves = []
+                for lists in lists_of_queries(m, as_query(_matrix(batch.column("v")), m.longest), s):
+                    own: dict[int, list[int]] = {}
+                    for k in lists:
+                        own.setdefault(k // s.shelf, []).append(k)
+                    shelves.append([{"shelf": k, "lists": v} for k, v in own.items()])
+                kind = pa.list_(pa.struct([("shelf", pa.int32()), ("lists", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(shelves, kind)], ["id", "v", "shelves"])
+
+    dealt = listed.mapInArrow(deal, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
+    dealt = written(dealt.withColumn("shelf", F.floor(F.col("list") / s.shelf).cast("int")), "dealt")
+    asked = queries.mapInArrow(ask, "id long, v array<double>, shelves array<struct<shelf: int, lists: array<int>>>")
+    asked = written(asked.select("id", "v", F.explode("shelves").alias("s")).select("id", "v", "s.shelf", "s.lists"), "asked")
+    # One row for each shelf: s.max_lists / s.shelf at most.
+    blocks = dealt.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("vb"))
+    blocks = blocks.join(asked.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / s.query_block).cast("int").alias("qb")), "shelf")
+    blocks = F.broadcast(written(blocks, "blocks"))
+    left = dealt.join(blocks, "shelf").select("shelf", F.pmod(F.xxhash64("id"), F.col("vb")).cast("int").alias("vi"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qi"), "list", "id", "v")
+    right = asked.join(blocks, "shelf").select("shelf", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("vi"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("qi"), "lists", "id", "v")
 
     def compare(x: pa.Table, q: pa.Table) -> pa.Table:
-        found = _best(x, q, s.top) if x.num_rows and q.num_rows else ([], [], [])
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        return _best(x, q, x.column("list").to_numpy(), q.column("lists").to_pylist(), s.top)
 
-    key = ["list", "vi", "qi"]
-    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    once = pairs.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= s.top).select("query_id", "rank", "id", "score")
+    key = ["shelf", "vi", "qi"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, FOUND)
 
 
-def _best(x: pa.Table, q: pa.Table, top: int) -> tuple[list[int], list[int], list[float]]:
-    xi, qi = x.column("id").to_numpy(), q.column("id").to_numpy()
-    order = np.argsort(xi)
-    xi, xv, qv = xi[order], _matrix(x.column("v").combine_chunks())[order], _matrix(q.column("v").combine_chunks())
-    rough = qv @ xv.T
-    k = min(len(xi), 2 * top + 2)
-    out = ([], [], [])
-    for j in range(len(qi)):
-        near = np.argpartition(-rough[j], k - 1)[:k] if k < len(xi) else np.arange(k)
-        near = near[xi[near] != qi[j]]
-        score = (xv[near] * qv[j]).sum(1)  # the same sum for equal vectors, whatever the block
-        near = near[np.lexsort((xi[near], -score))[:top]]
-        out[0].extend([int(qi[j])] * len(near)), out[1].extend(xi[near].tolist()), out[2].extend((xv[near] * qv[j]).sum(1).tolist())
-    return out
+def _best(x: pa.Table, q: pa.Table, list_of: np.ndarray, lists: list[list[int]], top: int) -> pa.Table:
+    """FOUND: of each query the ``top`` best of its lists' vectors, by exact score, then id.
+
+    A product of matrices gives scores that may be off by rounding.  All rows are kept whose rough
+    score, with a margin for it, reaches what surely are ``top`` better ones; these are scored exactly.
+    """
+    empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    if not x.num_rows or not q.num_rows:
+        return empty
+    xi, qi, xv, qv = x.column("id").to_numpy(), q.column("id").to_numpy(), _matrix(x.column("v")), _matrix(q.column("v"))
+    margin = 1e-12 * xv.shape[1] * np.linalg.norm(qv, axis=1) * np.linalg.norm(xv, axis=1).max()
+    bar = np.full(len(qi), -np.inf)  # of each query: so many rows are known to score as much
+    askers: dict[int, list[int]] = {}
+    for k, own in enumerate(lists):
+        for one in own:
+            askers.setdefault(one, []).append(k)
+    order = np.argsort(list_of, kind="stable")
+    names, first = np.unique(list_of[order], return_index=True)
+    rows_of = dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for one in sorted(askers.keys() & rows_of.keys()):
+        rows = rows_of[one]
+        for a in range(0, len(askers[one]), 512):
+            asks = np.array(askers[one][a : a + 512])
+            rough = qv[asks] @ xv[rows].T
+            if len(rows) > top and len(np.unique(xi[rows])) == len(rows):  # the query itself may be among them
+                bar[asks] = np.maximum(bar[asks], np.partition(rough, len(rows) - top - 1, axis=1)[:, len(rows) - top - 1] - 2 * margin[asks])
+            i, j = np.nonzero(rough >= bar[asks][:, None])
+            held.append((asks[i], rows[j], rough[i, j]))
+    if not held:
+        return empty
+    a, b, rough = (np.concatenate(c) for c in zip(*held, strict=True))
+    ok = (rough >= bar[a]) & (xi[b] != qi[a])
+    a, b = a[ok], b[ok]
+    score = np.empty(len(a))
+    for k in range(0, len(a), 1 << 16):
+        score[k : k + (1 << 16)] = (xv[b[k : k + (1 << 16)]] * qv[a[k : k + (1 << 16)]]).sum(1)  # the same sum for equal vectors, whatever the block
+    order = np.lexsort((xi[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    # Of each other id the best: a vector may be on several lists, and an id may have several vectors.
+    number = np.unique(xi, return_inverse=True)[1]
+    first = np.sort(np.unique(a * len(xi) + number[b], return_index=True)[1])
+    a, b, score = a[first], b[first], score[first]
+    start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))[: len(a)]
+    keep = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < top
+    return pa.table({"query_id": pa.array(qi[a[keep]], pa.int64()), "id": pa.array(xi[b[keep]], pa.int64()), "score": pa.array(score[keep], pa.float64())})
+
+
+def fit(listed: DataFrame, n: int, longest: float, s: Settings) -> Model:
+    """On rows whose seeded hash lies under a threshold, ``s.sample_of_list`` for each list, about.
+
+    One task cuts a part of the sample into cells; if there are several, each cell's sample is cut
+    into lists by a task of its own.
+    """
+    spark = listed.sparkSession
+    lists = 1 << (max(1, min(s.max_lists, n // s.list_size)).bit_length() - 1)
+    cells = max(1, lists // s.cell)
 
+    def sample(rows: int) -> DataFrame:
+        upto = min(2**63 - 1, int(-(2**63) + min(1.0, rows / max(n, 1)) * 2**64))
+        return listed.filter(F.xxhash64(F.lit(s.seed), "id") <= upto).select("id", "v")
 
-def fit(rows: DataFrame, n: int, longest: float, s: Settings) -> Model:
-    """On the ``s.sample`` rows, about, whose seeded hash lies under a threshold."""
-    upto = min(2**63 - 1, int(-(2**63) + min(1.0, s.sample / max(n, 1)) * 2**64))
-    sample = rows.filter(F.xxhash64(F.lit(s.seed), "id") <= upto).select("id", "v")
-    wanted = max(1, min(s.max_lists, s.lists_per_probe * s.probes, n // s.list_size, s.sample // 4))
-    parts = 1 << (wanted.bit_length() - 1)
+    def cut(rows: pa.Table, parts: int) -> list[np.ndarray]:
+        x = widened(_matrix(rows.column("v")), longest)[np.argsort(rows.column("id").to_numpy(), kind="stable")]
+        return [c.astype(np.float32) for c in bisect(x, parts, np.random.default_rng(s.seed))]
 
     def run(batches):
-        ids, v = [], []
-        for batch in batches:
-            if batch.num_rows:
-                ids.append(batch.column("id").to_numpy()), v.append(_matrix(batch.column("v")))
-        if ids:
-            order = np.argsort(np.concatenate(ids), kind="stable")
-            for c in bisect(widened(np.vstack(v)[order], longest), parts, np.random.default_rng(s.seed)):
-                yield pa.RecordBatch.from_pydict({"c": [c.astype(np.float32).tobytes()]})
+        held = [b for b in batches if b.num_rows]
+        if held:
+            for c in cut(pa.Table.from_batches(held), lists if cells == 1 else cells):
+                yield pa.RecordBatch.from_pydict({"c": [c.tobytes()]})
 
-    found = sample.repartition(1).mapInArrow(run, "c binary").collect()  # s.max_lists centroids at most
+    found = sample(min(lists, s.cell) * s.sample_of_list).repartition(1).mapInArrow(run, "c binary").collect()  # s.cell centroids, or max_lists / cell
     if not found:  # the hash left no row of a very small table
-        found = [{"c": widened(np.array([rows.first()["v"]]), longest).tobytes()}]
+        found = [{"c": widened(np.array([listed.first()["v"]]), longest).tobytes()}]
     c = np.array([np.frombuffer(r["c"], np.float32) for r in found])
+    if cells > 1:
+        tops = spark.sparkContext.broadcast(c)
+
+        def place(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    cell = distances(widened(_matrix(batch.column("v")), longest), tops.value).argmin(1)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
+
+        def cut_cell(rows: pa.Table) -> pa.Table:
+            own = cut(rows, lists // cells)
+            return pa.table({"cell": pa.array([rows.column("cell")[0].as_py()] * len(own), pa.int32()), "k": pa.array(range(len(own)), pa.int32()), "c": pa.array([x.tobytes() for x in own], pa.binary())})
+
+        placed = sample(lists * s.sample_of_list).mapInArrow(place, "id long, v array<double>, cell int")
+        found = written(placed.groupBy("cell").applyInArrow(cut_cell, "cell int, k int, c binary"), "centroids").orderBy("cell", "k").collect()  # s.max_lists centroids at most
+        c = np.array([np.frombuffer(r["c"], np.float32) for r in found])
     c = c * (longest / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)).astype(np.float32)
-    entries = np.random.default_rng(s.seed).permutation(len(c))[:64]
-    return Model(c, centroid_graph(c, s.degree), entries, longest)
+    entries = np.random.default_rng(s.seed).permutation(len(c))[: max(64, int(len(c) ** 0.5))]
+    m = Model(c, _graph(spark, c, s), entries, longest)
+    if len(c) <= s.least:
+        return m
+    shared = spark.sparkContext.broadcast(m)
+
+    def measure(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            out = measured(shared.value, _matrix(rows.column("v"))[np.argsort(rows.column("id").to_numpy(), kind="stable")], s)
+            yield pa.RecordBatch.from_pydict({"probes": [out.probes], "ratio": [out.ratio]})
+
+    for r in sample(s.measured).repartition(1).mapInArrow(measure, "probes long, ratio double").collect():
+        m.probes, m.ratio = r["probes"], r["ratio"]
+    return m
+
+
+def _graph(spark: SparkSession, c: np.ndarray, s: Settings) -> np.ndarray:
+    """centroid_graph, by executors if there are many centroids."""
+    step = 4096
+    if len(c) <= step:
+        return centroid_graph(c, s.degree)
+    shared = spark.sparkContext.broadcast(c)
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pydict({"k": [k], "rows": [centroid_graph(shared.value, s.degree, k * step, (k + 1) * step).tobytes()]})
+
+    parts = -(-len(c) // step)
+    rows = spark.range(0, parts, 1, parts).mapInArrow(run, "k long, rows binary").orderBy("k").collect()  # a few numbers for each centroid
+    return np.vstack([np.frombuffer(r["rows"], np.int32).reshape(-1, min(s.degree, len(c) - 1) + 2) for r in rows])

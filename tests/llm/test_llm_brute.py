@@ -269,13 +269,13 @@ def test_recall_of_nearest(spark, duck):
     assert hit / (20 * len(found)) >= 0.9
 
 
-def test_recall_of_nearest_holds_with_many_lists_wanted(spark):
-    """Directions without clusters, and a table large enough, for its list size, for 4096 lists."""
+def test_recall_of_nearest_with_lists_fitted_in_levels(spark):
+    """Directions without clusters, and lists so short that there are a thousand, in 16 cells."""
     v = np.random.default_rng(3).normal(size=(34_000, 64))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.array(list(v))}))
     found = collections.defaultdict(set)
-    for r in ann.nearest(df, F.col("vec_id") % 200 == 0, s=ann.Settings(list_size=8)).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 200 == 0, s=ann.Settings(list_size=32, cell=64, block=2000, query_block=100)).collect():
         found[r["query_id"]].add(r["id"])
     hit = 0
     for q in range(0, len(v), 200):
@@ -285,6 +285,41 @@ def test_recall_of_nearest_holds_with_many_lists_wanted(spark):
     assert hit / (20 * 170) >= 0.9
 
 
+def test_clustered_vectors_read_few_lists():
+    """What is measured at fitting decides how much is read."""
+    rng = np.random.default_rng(5)
+    tops = rng.normal(size=(256, 32))
+    tops /= np.linalg.norm(tops, axis=1, keepdims=True)
+    shares = []
+    for spread in (0.02, 5.0):
+        x = tops[rng.integers(0, 256, 8000)] + rng.normal(size=(8000, 32)) * spread
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = np.array(ann.bisect(ann.widened(x, 1.0), 256, rng), np.float32)
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        s = ann.Settings(least=1)
+        m = ann.measured(ann.Model(c, ann.centroid_graph(c, 16), np.arange(64), 1.0), x, s)
+        shares.append(np.mean([len(own) for own in ann.lists_of_queries(m, ann.as_query(x[:200], 1.0), s)]) / 256)
+    assert shares[0] < 0.02 < shares[1] < 0.5
+
+
+def test_ties_of_nearest(spark):
+    """Distinct rows of equal scores: 20,000 of few values, and one block of more ties than are returned."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 2, (2000, 8)).astype(float)
+    v[~v.any(1)] = 1.0
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    for q in range(0, 2000, 100):
+        score = (v * v[q]).sum(1)
+        score[q] = -1
+        assert got[q] == [(i, score[i]) for i in np.lexsort((np.arange(2000), -score))[:20].tolist()]
+    x = np.hstack([np.ones((2000, 1)), rng.normal(size=(2000, 3))])  # equal scores with the query, other vectors
+    tied = ann._best(*(pa.table({"id": np.array(i), "v": pa.array(w.tolist())}) for i, w in ((range(2000), x), ([5000], np.array([[1.0, 0, 0, 0]])))), np.zeros(2000, np.int64), [[0]], 20)
+    assert tied.column("id").to_pylist() == list(range(20))
+
+
 def test_pipeline_reduces_rows_without_an_id(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(100)) for c in "abc")
     rows = [(7, one), (None, one), (None, one + " more"), (None, two), (None, two), (None, two + " more"), (3, three), (3, three), (None, None), (None, None), (None, "short")]
