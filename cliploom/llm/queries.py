@@ -33,10 +33,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' records; the predicate on their types is applied to headers, by the source."""
     path = warc.archive(table(spark, sf_dir, "pages"))
-    records = spark.read.format("warc").option("payload", "digest").load(path)
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
-    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
+    records = spark.read.format("warc").option("payload", "digest").load(path).filter(F.col("record_type").isin("response", "revisit"))
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +50,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is not held out; nor is it learned from, as no label names it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 4) != 2)
     scored = quality.score(docs, quality.fit(docs, labels, "quality"))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 def op8_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +63,11 @@ def op8_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is not held out, nor learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.filter(fold(F.col("doc_id"), 3) != 1), "text", "lang", F.col("doc_id"))
     out = language.predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

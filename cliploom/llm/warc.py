@@ -18,7 +18,9 @@ isn't understood is left to Spark.
 ``df.write.format("warc")`` takes page_id long, url, payload binary, digest, payload_bytes,
 record_type, refers_to long.  A task writes files under a temporary name; the commit renames those
 of successful attempts, so that a lost executor leaves nothing behind that is read.  Files are cut
-at ``file_bytes`` (64 MiB), which is what read partitions are planned from.
+at ``file_bytes`` (64 MiB), which is what read partitions are planned from.  Each begins with a
+record of type warcinfo, as readers expect; rows of it are read like any others, so who wants pages
+asks for their record types.
 """
 
 from __future__ import annotations
@@ -52,7 +54,13 @@ def filesystem(path: str):
 
 
 def record_name(page_id: int | None) -> str:
-    return f"<urn:page:{page_id}>"
+    """A page without an id has a name without a number."""
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def page_of(name: F.Column) -> F.Column:
+    """The page_id of a record's name; null where it has none."""
+    return F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
 
 
 def member(record: bytes, level: int = 1) -> bytes:
@@ -78,6 +86,12 @@ def record_of(row) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def file_record(name: str) -> bytes:
+    block = b"software: cliploom\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -97,6 +111,7 @@ class WarcWriter(DataSourceWriter):
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     files.append((f"{root}/_temporary-{self.job}/{name}", f"{root}/{name}"))
                     out, size = fs.open_output_stream(files[-1][0], compression=None), 0
+                    out.write(member(file_record(name)))
                 data = member(record_of(row))
                 out.write(data)
                 size += len(data)
@@ -144,50 +159,52 @@ class Source:
 
 class Member:
     FIRST = 1536  #: bytes read to begin with; enough for headers, as a rule
+    NEXT = 1 << 18
 
     def __init__(self, source: Source, at: int) -> None:
         self.source, self.at = source, at
-        self.raw = source.file.read_at(min(self.FIRST, source.size - at), at)
-        if self.raw[:3] != b"\x1f\x8b\x08"[: len(self.raw)]:
+        raw = source.file.read_at(min(self.FIRST, source.size - at), at)
+        if raw[:3] != b"\x1f\x8b\x08"[: len(raw)]:
             raise ValueError(f"no gzip member at byte {at}")
-        if len(self.raw) < 12:  # a gzip member has 18 bytes at least
+        if len(raw) < 12:  # a gzip member has 18 bytes at least
             raise ValueError(f"truncated member at byte {at}")
         self.known: int | None = None
-        if self.raw[3] & 4:
-            extra = self.raw[12 : 12 + struct.unpack("<H", self.raw[10:12])[0]]
+        if raw[3] & 4:
+            extra = raw[12 : 12 + struct.unpack("<H", raw[10:12])[0]]
             if extra[:4] == b"SL\x10\0":
                 if len(extra) >= 12:
                     self.known = struct.unpack("<Q", extra[4:12])[0]
                 if self.known is None or at + self.known > source.size:
                     raise ValueError(f"truncated member at byte {at}")
-        self.inflate, self.plain, self.read = zlib.decompressobj(31), b"", 0
+        self.inflate, self.waiting, self.read, self.plain = zlib.decompressobj(31), raw, 0, bytearray()
 
     def more(self) -> bool:
         """Inflate some more; False at the end."""
         if self.inflate.eof:
             return False
-        if self.read == len(self.raw):
+        if not self.waiting:
             end = self.at + self.known if self.known else self.source.size
             here = self.at + self.read
-            new = self.source.file.read_at(min(1 << 18, end - here), here)
-            if not new:
+            self.waiting = self.source.file.read_at(min(self.NEXT, end - here), here)
+            if not self.waiting:
                 raise ValueError(f"truncated member at byte {self.at}")
-            self.raw += new
-        self.plain += self.inflate.decompress(self.raw[self.read :])
-        self.read = len(self.raw)
+        self.plain += self.inflate.decompress(self.waiting)
+        self.read += len(self.waiting)
+        self.waiting = b""
         return True
 
     def until(self, mark: bytes, start: int) -> int:
         """Where ``mark`` ends, from ``start``."""
         while (k := self.plain.find(mark, start)) < 0:
+            start = max(start, len(self.plain) - len(mark) + 1)
             if not self.more():
                 raise ValueError(f"no end of headers in the record at byte {self.at}")
         return k + len(mark)
 
-    def all(self) -> bytes:
+    def all(self) -> memoryview:
         while self.more():
             pass
-        return self.plain
+        return memoryview(self.plain)
 
     def length(self) -> int:
         if self.known:
@@ -253,18 +270,19 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             for m in Source(fs, path).members():
                 end = m.until(b"\r\n\r\n", 0)
-                head = fields(m.plain[:end])
+                head = fields(bytes(m.plain[:end]))
                 row = {name: head.get(key) for name, key in HEADERS.items()}
                 row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
                 if row["target_uri"] is not None:
                     row["target_uri"] = row["target_uri"].replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
                 if not self.wanted(row):
                     continue
-                start = m.until(b"\r\n\r\n", end)
-                size = int(fields(m.plain[end:start]).get("content-length", 0))
-                payload = None
+                size, payload = int(head.get("content-length", 0)), None
+                if (row["record_type"] or "") in ("response", "revisit"):
+                    start = m.until(b"\r\n\r\n", end)
+                    size = int(fields(bytes(m.plain[end:start])).get("content-length", 0))
                 if self.payload != "none" and row["record_type"] == "response":
-                    payload = m.all()[start : end + int(head["content-length"])]
+                    payload = bytes(m.all()[start : end + int(head["content-length"])])
                     if base64.b32encode(hashlib.sha1(payload).digest()).decode() != row["payload_digest"] or len(payload) != size:
                         raise ValueError(f"the payload of {row['record_id']} isn't what its headers say")
                 yield (*(row[c] for c in HEADERS), size, payload if self.payload == "full" else None)
@@ -303,6 +321,8 @@ def base32_digest(binary: str) -> F.Column:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows for the writer: of equal payloads the row of largest id is a response, the others revisit it.
 
+    Payloads are equal if SHA-1, MD5 and length are: of the first alone, texts made to agree are known.
+
     * A null html is an empty payload; empty payloads are equal payloads like any other.
     * Rows that repeat the largest id are responses too.  A null id is smaller than any other; if a
       payload has only null ids, its rows are responses.
@@ -313,9 +333,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("hex", F.sha1("payload"))
+    rows = rows.withColumn("same", F.concat_ws(":", "hex", F.md5("payload"), F.octet_length("payload")))
     # Only payloads that repeat; where they are few, Spark broadcasts them and no payload is shuffled.
-    repeated = rows.groupBy("hex").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = rows.join(written(repeated.select("hex", "last"), "warc-last"), "hex", "left")
+    repeated = rows.groupBy("same").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = rows.join(written(repeated.select("same", "last"), "warc-last"), "same", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return joined.select(
         "page_id", "url", F.when(revisit, F.lit(None)).otherwise(F.col("payload")).alias("payload"), base32_digest("hex").alias("digest"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cliploom.llm import ann, chat, decontaminate, language, mixing, near_dedup, quality, sharding, substring, warc
+from cliploom.llm import ann, chat, decontaminate, language, mixing, near_dedup, quality, queries, sharding, substring, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 997} and{i}" for i in range(60_000))
@@ -196,7 +196,8 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).withColumn("hex", F.lit(1))
     path = warc.archive(df, str(tmp_path / "w"))
     read = spark.read.format("warc").option("payload", "full").load(path)
-    got = sorted((tuple(r) for r in read.collect()), key=str)
+    got = sorted((tuple(r) for r in read.filter("record_type <> 'warcinfo'").collect()), key=str)
+    assert read.filter("record_type = 'warcinfo' and record_id like '<urn:file:%.warc.gz>' and payload is null").count() == len(list((tmp_path / "w").glob("*.warc.gz")))
     assert len(got) == 7 and [r[0] for r in got].count("revisit") == 2
     by = {r[1]: r for r in got}
     assert by["<urn:page:1>"][3] == "<urn:page:2>" and by["<urn:page:1>"][2] == rows[0][1] and by["<urn:page:3>"][3] == "<urn:page:4>" and by["<urn:page:3>"][2] is None
@@ -215,6 +216,43 @@ def test_warc(spark, tmp_path):
         spark.read.format("warc").load(path).collect()
 
 
+def test_warc_query_with_nulls_repeats_and_an_empty_table(spark, tmp_path):
+    rows = [(1, "u", "<p>same</p>"), (2, None, "<p>same</p>"), (None, "u", "<p>same</p>"), (None, "u", "only"), (3, None, None), (None, None, None), (2, None, "<p>same</p>"), (-4, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("same", F.lit("clash"))
+    pages.write.parquet(str(tmp_path / "a/pages.parquet"))
+    pages.limit(0).write.parquet(str(tmp_path / "b/pages.parquet"))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in queries.op4_warc(spark, str(tmp_path / "a")).collect()), key=str)
+    want = [(1, 11, "revisit", 2), (2, 11, "response", None), (None, 11, "revisit", 2), (None, 4, "response", None), (3, 0, "response", None), (None, 0, "revisit", 3), (2, 11, "response", None), (-4, 0, "revisit", 3)]
+    assert got == sorted(want, key=str)
+    assert queries.op4_warc(spark, str(tmp_path / "b")).count() == 0
+    plan = queries.op4_warc(spark, str(tmp_path / "a"))._jdf.queryExecution().toString()
+    assert "Filter (record_type" not in plan.split("== Physical Plan ==")[1]  # nothing is left for Spark to filter
+
+
+def test_warc_decodes_only_what_passes(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, In, StringStartsWith
+
+    html = "".join(f"<p>{i * 7919 % 1000}</p>" for i in range(3000))  # more than is read with the headers
+    df = spark.createDataFrame([(i, f"http://{'a' if i % 4 else 'b'}/{i}", html + str(i // 2)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = warc.archive(df, str(tmp_path / "w"))
+    inflated = []
+    monkeypatch.setattr(warc.Member, "all", (lambda real: lambda self: (inflated.append(self.at), real(self))[1])(warc.Member.all))
+    for filters, payload, rows, decoded in (
+        ([], "digest", 41, 20),
+        ([In(("record_type",), ("response",))], "digest", 20, 20),
+        ([EqualTo(("record_type",), "revisit")], "full", 20, 0),
+        ([StringStartsWith(("target_uri",), "http://b/")], "full", 10, 0),
+        ([StringStartsWith(("target_uri",), "http://a/"), EqualTo(("record_type",), "response")], "full", 20, 20),
+        ([EqualTo(("record_id",), "<urn:page:7>")], "full", 1, 1),
+        ([], "none", 41, 0),
+    ):
+        reader = warc.WarcReader(path, payload, 1 << 20)
+        assert list(reader.pushFilters(filters)) == []
+        inflated.clear()
+        assert len([r for p in reader.partitions() for r in reader.read(p)]) == rows and len(inflated) == decoded
+    assert list(warc.WarcReader(path, "none", 1).pushFilters([EqualTo(("payload_bytes",), 3)]))  # left to Spark
+
+
 def test_warc_cut_anywhere(tmp_path):
     from pyarrow import fs
 
