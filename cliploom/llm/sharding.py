@@ -5,10 +5,10 @@ Rows are shuffled by a seeded hash and ranked within their source; the fractiona
 cutting into equal runs gives shards whose counts differ by one at most and whose mixture is the
 corpus's.
 
-No window spans a whole source or the whole table.  Hash space and fractional rank are cut into
-buckets, bucket counts are summed first (one small row per bucket) and windows rank rows only
-inside a bucket; offsets add the rest.  A source that holds a third of all rows is thus dealt
-over as many tasks as any other rows.
+No window spans a whole source or the whole table.  Rows are dealt over tasks by ranges of the whole
+sort key, sources, ids and, last, a number of the row included, so that neither a source that holds a
+third of all rows, nor many sources of one rank, nor rows that repeat an id meet in one task.  Places
+within a task are added to the running sum of the tasks' row counts (one small row for each task).
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 HASH_BITS = 60
-MAX_BUCKETS = 65_536  #: bounds the histograms, whatever the input
-MIN_BUCKETS = 64
+MAX_PARTS = 65_536  #: bounds the table of row counts, whatever the input
 
 
 def seeded_hash(seed: int, column: Column) -> Column:
@@ -29,8 +28,19 @@ def seeded_hash(seed: int, column: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def bucket_count(rows: int, rows_per_bucket: int) -> int:
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, rows // rows_per_bucket))
+def ranged(df: DataFrame, keys: list[str], rows: int, rows_per_part: int, name: str) -> DataFrame:
+    """``df`` written in the order of ``keys``, with part (ranges of the order, ascending) and place (from 0, within a part)."""
+    parts = max(1, min(MAX_PARTS, -(-rows // rows_per_part)))
+    sorted_rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    number = F.monotonically_increasing_id()  # the task's number, above 33 bits of the row's
+    placed = sorted_rows.withColumn("place", number).withColumn("part", F.shiftright("place", 33).cast("int"))
+    return written(placed.withColumn("place", F.col("place").bitwiseAND(F.lit((1 << 33) - 1))), name)
+
+
+def running(sums: DataFrame, *columns: str) -> DataFrame:
+    """(part, before_* and all_* of each column): sums of the parts before, and of all; MAX_PARTS rows at most."""
+    before, everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    return sums.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in columns], *[F.sum(c).over(everything).alias(f"all_{c}") for c in columns])
 
 
 def shard_interleaved(
@@ -40,7 +50,7 @@ def shard_interleaved(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    rows_per_bucket: int = 1000,
+    rows_per_part: int = 50_000,
 ) -> DataFrame:
     """One row per input row: id, source, size, text_crc32, shard, slot.
 
@@ -62,40 +72,33 @@ def shard_interleaved(
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("crc"),
             seeded_hash(seed, F.col(id_col)).alias("h"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "shard-rows",
     )
     total = rows.count()
-    buckets = bucket_count(total, rows_per_bucket)
-    rows = rows.withColumn("b", F.shiftright(F.shiftright("h", 20) * F.lit(buckets), HASH_BITS - 20))
+    by_source = ranged(rows, ["no_src", "src", "h", "id", "size", "crc", "number"], total, rows_per_part, "shard-sources")
     of_source = Window.partitionBy("src", "no_src")
-    counts = (
-        rows.groupBy("src", "no_src", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(of_source.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("n_source", F.sum("n").over(of_source))
-        .select("src", "no_src", "b", F.coalesce("before", F.lit(0)).alias("before"), "n_source")
-    )
-    in_bucket = Window.partitionBy("src", "no_src", "b").orderBy("h", "id", "size", "crc")
-    ranked = written(
-        rows.join(counts, ["src", "no_src", "b"])
-        .withColumn("rank", F.col("before") + F.row_number().over(in_bucket))
+    counts = by_source.groupBy("src", "no_src", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    counts = counts.select(
+        "src", "no_src", "part", "first",
+        F.coalesce(F.sum("n").over(of_source.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("n").over(of_source).alias("n_source"),
+    )
+    rank = F.col("before") + F.col("place") - F.col("first") + 1
+    ranked = (
+        by_source.join(counts, ["src", "no_src", "part"])
+        .withColumn("rank", rank)
         .withColumn("f", (F.col("rank") - F.lit(0.5)) / F.col("n_source"))
-        .withColumn("g", F.floor(F.col("f") * F.lit(buckets)).cast("long"))
-        .select("id", "src", "no_src", "size", "crc", "rank", "f", "g"),
-        "shard-ranked",
-    )
-    running = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # over MAX_BUCKETS rows at most
-    offsets = (
-        ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("offset"))
+        .select("id", "src", "no_src", "size", "crc", "rank", "f")
     )
-    in_g = Window.partitionBy("g").orderBy("f", "no_src", "src", "rank")
-    at = F.col("offset") + F.row_number().over(in_g) - 1
+    placed = ranged(ranked, ["f", "no_src", "src", "rank"], total, rows_per_part, "shard-ranked")
+    offsets = running(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "n")
     shard = F.expr(f"(at * {n_shards}L) div {max(total, 1)}L")
     start = F.expr(f"(shard * {total}L + {n_shards - 1}L) div {n_shards}L")
     return (
-        ranked.join(F.broadcast(offsets), "g")  # MAX_BUCKETS rows of two numbers at most
-        .withColumn("at", at)
+        placed.join(F.broadcast(offsets), "part")
+        .withColumn("at", F.col("before_n") + F.col("place"))
         .withColumn("shard", shard)
         .select(
             F.col("id").alias(id_col),
