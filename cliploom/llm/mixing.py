@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sharding import seeded_hash
+from .sharding import ranged, running, seeded_hash
 from .store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,33 +22,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sources_per_part: int = 50_000) -> DataFrame:
     """``sizes`` (src, no_src, source_size) with the words that each source is to give.
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share the total by
     weight.  A source stops at ``most`` times its size; the excess goes to the others by weight
     until none is above.  That end point is a water level: sources with the lowest limit per
-    weight are the ones that stop, so one running sum in that order finds it.  Windows here see
-    one row per source.
+    weight are the ones that stop, so running sums in that order find it.  Where sources are many,
+    as hosts are, ranges of them are summed first, and no task sees them all.
     """
-    by_name = Window.orderBy("no_src", "src")
-    by_limit = Window.orderBy("ratio", "no_src", "src")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
-    everything = Window.partitionBy()
-    shared = (
-        sizes.withColumn("k", F.row_number().over(by_name) - 1)
+    sizes = written(sizes, "mix-sizes")
+    n = sizes.count()
+    named = ranged(sizes, ["no_src", "src"], n, sources_per_part, "mix-names")
+    offsets = running(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "n")
+    k = F.col("before_n") + F.col("place")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (k % len(weights) + 1).cast("int"))
+    weighed = (
+        named.join(F.broadcast(offsets), "part")
         .withColumn("weight", weight.cast("long"))
         .withColumn("cap", F.col("source_size") * most)
         .withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
-        .withColumn("i", F.row_number().over(by_limit))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("caps_before", F.coalesce(F.sum("cap").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("weights_from", F.sum("weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level_here", (F.col("total") - F.col("caps_before")).cast("double") / F.col("weights_from"))
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level_here"), F.struct("i", "level_here"))).over(everything)["level_here"])
+        .select("src", "no_src", "source_size", "weight", "cap", "ratio")
     )
-    target = F.when(F.col("ratio") < F.col("level"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level"))
-    return shared.select("src", "no_src", "source_size", target.alias("target"))
+    limited = ranged(weighed, ["ratio", "no_src", "src"], n, sources_per_part, "mix-limits")
+    sums = limited.groupBy("part").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.sum("source_size").alias("size"))
+    earlier = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    caps_before, weights_before = (F.col(f"before_{c}") + F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("cap", "weight"))
+    here = (F.col("all_size") - caps_before).cast("double") / (F.col("all_weight") - weights_before)
+    levels = limited.join(F.broadcast(running(sums, "cap", "weight", "size")), "part").select("part", "place", "ratio", here.alias("level"))
+    first = levels.filter(F.col("ratio") >= F.col("level")).agg(F.min(F.struct("part", "place", "level")).alias("x")).first()["x"]
+    level = F.lit(first["level"] if first else None).cast("double")
+    target = F.when(F.col("ratio") < level, F.col("cap").cast("double")).otherwise(F.col("weight") * level)
+    return limited.select("src", "no_src", "source_size", target.alias("target"))
 
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -64,14 +69,13 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     shift, key = sum(LEVELS), ["src", "no_src", "prefix"]
     for bits in LEVELS:
         seen, shift = shift, shift - bits
-        # Only rows in the bucket at which the budget of their source ends.
-        part = rows.withColumn("prefix", F.shiftright("h", seen) if seen < sum(LEVELS) else F.lit(0).cast("long"))
-        sums = (
-            part.withColumn("bucket", F.shiftright("h", shift))
-            .join(state.filter("open").select(*key, "left"), key)
-            .groupBy(*key, "left", "bucket")
-            .agg(F.sum("size").alias("s"))
-        )
+        part = rows.withColumn("bucket", F.shiftright("h", shift))
+        budgets = state.filter("open").select(*key, "left")
+        if seen == sum(LEVELS):  # summed before they meet the budgets, so that a large source isn't shuffled
+            all_sums = part.groupBy("src", "no_src", F.lit(0).cast("long").alias("prefix"), "bucket").agg(F.sum("size").alias("s"))
+            sums = all_sums.join(budgets, key)
+        else:  # only rows in the bucket at which the budget of their source ends
+            sums = part.withColumn("prefix", F.shiftright("h", seen)).join(budgets, key).groupBy(*key, "left", "bucket").agg(F.sum("size").alias("s"))
         upto = F.sum("s").over(Window.partitionBy(*key, "left").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         ends = (
             sums.withColumn("upto", upto)
