@@ -5,12 +5,14 @@ term in a segment divided by the segment's sum, so that a passage scores 1 if it
 of the segment.  Posting lists are cut into aligned blocks of segments with the largest impact of
 each block.
 
-Retrieval is WAND on two levels.  On the level of terms, each segment's lightest terms, with
-``light`` of its sum at most, are left out of a first pass: a segment can reach the threshold only
-if its other, essential terms bring the rest, so short lists of rare terms decide for all passages
-of many documents at once which passages go on.  On the level of blocks, the sums of block maxima
-rule out blocks; only postings of blocks that remain are added up.  What is over the threshold is
-retrieved, all of it; nothing is ranked or cut.
+Retrieval is block-max WAND with the threshold fixed, so what is over it is retrieved, all of it;
+nothing is ranked or cut.  It has two steps.  A pass over all passages of many documents at once does
+what a pivot does: each segment's lightest terms, with ``light`` of its sum at most, are left out, and
+a segment can reach the threshold only if its other, essential terms bring the rest; passages without
+any such segment have no pivot.  Each passage that remains is searched by cursors, one for each of its
+terms: the pivot is the first segment at which the bounds of the lists up to it reach the threshold;
+if the block maxima there don't, the cursors skip to where they may; else they meet at the pivot and
+its score is added up.
 
 Retrieved items are verified: both question and answer must overlap with the words around the
 passage.  Items of a few words are not indexed; they are found by their whole word sequence.
@@ -51,6 +53,10 @@ class Settings:
     block: int = 32  #: segments
     index_bytes: int = 32 << 20  #: of item text in one index; more is searched in turns
 
+    def __post_init__(self) -> None:
+        if not self.light < self.threshold:
+            raise ValueError("light must be under the threshold: else a segment could reach it by terms that the first pass leaves out")
+
 
 def terms(text: str | None) -> list[str]:
     return TERM.findall(pc.utf8_lower(pa.scalar(text or "")).as_py())
@@ -86,8 +92,9 @@ def overlap(part: list[str], words: list[str], n: int) -> float:
 
 
 def segments_of(words: list[str], s: Settings) -> list[Counter]:
-    """What is indexed of an item; nothing of one of fewer than ``s.min_words`` words."""
-    return [Counter(words[at : at + s.segment]) for at in range(0, max(1, len(words) - s.min_words), s.segment)] if len(words) >= s.min_words else []
+    """What is indexed of an item, the last words of a long one with those before them; nothing of one of fewer than ``s.min_words`` words."""
+    last = max(0, len(words) - s.segment)
+    return [Counter(words[min(at, last) :][: s.segment]) for at in range(0, len(words), s.segment)] if len(words) >= s.min_words else []
 
 
 class Statistics(NamedTuple):
@@ -138,21 +145,23 @@ class Index:
                 else:
                     self.least[d] = s.threshold - light
             self.least[d] = self.least[d] or s.threshold
-        # Two sparse tables by term: postings, and maxima by block of segments.
+        # Sparse tables by term: postings, by segment, and those of essential terms.
         self.start = np.cumsum([0, *map(len, lists)])
         self.e_start = np.cumsum([0, *map(len, essential)])
         self.e_seg = np.array([d for x in essential for d, _ in x], np.int64)
         self.e_impact = np.array([v for x in essential for _, v in x])
         self.seg = np.array([d for x in lists for d, _ in x], np.int64)
         self.impact = np.array([v for x in lists for _, v in x])
-        tops = [{} for _ in lists]
+        tops: list[dict[int, float]] = [{} for _ in lists]  # by term, the largest impact in each block of segments
         for top, x in zip(tops, lists, strict=True):
             for d, v in x:
                 top[d // s.block] = max(top.get(d // s.block, 0.0), v)
-        self.top_start = np.cumsum([0, *map(len, tops)])
-        self.top_block = np.array([b for x in tops for b in x], np.int64)
-        self.top = np.array([v for x in tops for v in x.values()])
-        self.n_blocks = -(-n // s.block)
+        self.bound = np.array([max(top.values()) for top in tops])
+        # Term and segment, and term and block, as one ascending number: a list is searched from any place in one step.
+        self.blocks = -(-n // s.block)
+        self.place = np.repeat(np.arange(len(lists)), np.diff(self.start)) * n + self.seg
+        self.top_place = np.array([k * self.blocks + b for k, top in enumerate(tops) for b in top], np.int64)
+        self.top = np.array([v for top in tops for v in top.values()])
         self.n = n
 
     @staticmethod
@@ -160,17 +169,40 @@ class Index:
         a, n = start[rows], start[rows + 1] - start[rows]
         return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    def search(self, found: np.ndarray) -> list[tuple[int, float]]:
-        """(segment, score) of all segments at or over the threshold, for the distinct terms ``found``."""
-        least = self.s.threshold - 1e-9
-        k = self._gather(self.top_start, found)
-        open_blocks = np.bincount(self.top_block[k], self.top[k], self.n_blocks) >= least
-        if not open_blocks.any():
-            return []
-        k = self._gather(self.start, found)
-        k = k[open_blocks[self.seg[k] // self.s.block]]
-        score = np.bincount(self.seg[k], self.impact[k], self.n)
-        return [(int(d), float(score[d])) for d in np.flatnonzero(score >= least)]
+    def search(self, found: np.ndarray, pivots: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """(segment, score) of all segments at or over the threshold, for the distinct terms ``found``.
+
+        ``pivots`` are the segments, ascending, that a pass before has left; all, if None.
+        """
+        n, least, out = self.n, self.s.threshold - 1e-9, []
+        pivots = np.arange(n) if pivots is None else pivots
+        ends, bounds = self.start[found + 1], self.bound[found]
+        at, segment = self.start[found], np.full(len(found), -1)  # the cursors
+
+        to = 0
+        while (k := int(np.searchsorted(pivots, to))) < len(pivots):
+            to = int(pivots[k])
+            behind = segment < to
+            at[behind] = np.searchsorted(self.place, found[behind] * n + to)
+            segment[behind] = np.where(at[behind] < ends[behind], self.seg[np.minimum(at[behind], len(self.seg) - 1)], n)
+            order = np.argsort(segment, kind="stable")
+            pivot = int(np.searchsorted(np.cumsum(bounds[order]), least))
+            if pivot == len(order) or (d := int(segment[order[pivot]])) == n:
+                break
+            upto = segment <= d
+            block = d // self.s.block
+            own = found[upto] * self.blocks + block
+            top = np.minimum(np.searchsorted(self.top_place, own), len(self.top) - 1)
+            if self.top[top[self.top_place[top] == own]].sum() < least:  # no segment of the block; up to the next cursor, at most
+                to = min((block + 1) * self.s.block, int(segment[~upto].min(initial=n)))
+            elif int(segment[order[0]]) < d:
+                to = d
+            else:
+                score = float(self.impact[at[upto]].sum())
+                if score >= least:
+                    out.append((d, score))
+                to = d + 1
+        return out
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each term, or -1."""
@@ -181,9 +213,9 @@ class Index:
         out[at[same]] = self.term_order[k[same]]
         return out
 
-    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Passages (document, start) that essential terms may bring over the threshold; ``ends`` are the documents' ends in ``ids``."""
-        s, none = self.s, np.empty((0, 2), np.int64)
+    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """Passages (document, start) with the segments that essential terms may bring over the threshold; ``ends`` are the documents' ends in ``ids``."""
+        s, none = self.s, []
         at = np.flatnonzero(ids >= 0)
         at = at[self.e_start[ids[at] + 1] > self.e_start[ids[at]]] if len(self.term) else at
         if not len(at):
@@ -209,9 +241,10 @@ class Index:
         else:
             found, inverse = np.unique(key, return_inverse=True)
             total = np.bincount(inverse, self.e_impact[k])
-        chosen = np.unique(found[total >= self.least[found % self.n] - 1e-9] // self.n)
-        d = np.searchsorted(np.cumsum(passages), chosen, "right")
-        return np.stack([d, (chosen - base[d]) * s.stride], 1)
+        chosen = found[total >= self.least[found % self.n] - 1e-9]
+        of, first = np.unique(chosen // self.n, return_index=True)
+        d = np.searchsorted(np.cumsum(passages), of, "right")
+        return list(zip(d.tolist(), ((of - base[d]) * s.stride).tolist(), np.split(chosen % self.n, first[1:]), strict=True)) if len(of) else none
 
     def short_items(self, hashes: np.ndarray, ends: np.ndarray, words_of: Callable[[int], list[str]]) -> Iterator[tuple[int, int]]:
         """(document, entry) of the short items whose words follow each other in a document."""
@@ -244,11 +277,11 @@ class Index:
 
         for doc, entry in self.short_items(t.hashes, ends, words_of):
             best[doc][entry] = 1.0
-        for doc, at in self.candidates(ids, ends).tolist():
+        for doc, at, pivots in self.candidates(ids, ends):
             start, own = (ends[doc - 1] if doc else 0) + at, best[doc]
             found = ids[start : min(start + s.passage, ends[doc])]
             scores: dict[int, float] = {}
-            for d, score in self.search(np.unique(found[found >= 0])):
+            for d, score in self.search(np.unique(found[found >= 0]), pivots):
                 scores[self.entry[d]] = max(score, scores.get(self.entry[d], 0.0))
             for entry, score in scores.items():
                 w = words_of(doc)
@@ -287,7 +320,7 @@ def decontaminate(
 
     * Every passage of every whole text is a query.  A null or empty text is clean.
     * Items without an id, with a null text or without words are not searched for.  Items of
-      one id, and equal items, are all searched.
+      one id are all searched; items of one text are one item, under their smallest id.
     * Items of fewer than ``s.min_words`` words contaminate where all their words follow each
       other in a text, with score 1.
     * An empty benchmark leaves all rows clean.  Repeated rows get equal results.
@@ -301,6 +334,7 @@ def decontaminate(
     spark = docs.sparkSession
     limit_arrow_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).dropna()
+    items = written(items.groupBy("text").agg(F.min("id").alias("id")).select("id", "text"), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     turns = max(1, -(-size // s.index_bytes))
     counts = count_terms(items, s) if turns > 1 else None

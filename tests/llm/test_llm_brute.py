@@ -1,8 +1,10 @@
 """Operators against brute force, SQL, round trips and held-out accuracy."""
 
 import collections
+import math
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from cliploom.llm import ann, components, decontaminate, near_dedup, queries, sharding, substring, words
+from cliploom.llm import ann, components, decontaminate, language, mixing, near_dedup, quality, queries, sharding, substring, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -229,11 +231,52 @@ def test_index_retrieves_all_above_threshold():
         for k in found:
             a, b = ix.start[k], ix.start[k + 1]
             full[ix.seg[a:b]] += ix.impact[a:b]
-        want = {d for d in range(ix.n) if full[d] >= s.threshold - 1e-9}
-        assert {d for d, _ in ix.search(found)} == want
+        want = {d: full[d] for d in range(ix.n) if full[d] >= s.threshold - 1e-9}
+        assert dict(ix.search(found)) == pytest.approx(want)
         assert not want or len(ix.candidates(ids, t.ends))
 
 
+@pytest.mark.parametrize("light", [0.0, 0.2, 0.34])
+def test_no_passage_over_the_threshold_is_passed_over(light):
+    """Candidates of whole documents, of several in a batch, against every passage and every segment."""
+    rng = random.Random(7)
+    vocab = [f"t{min(rng.randrange(300), rng.randrange(300))}" for _ in range(300)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(5, 150)))) for i in range(50)]
+    s = decontaminate.Settings(light=light, block=4, threshold=0.35)
+    ix = decontaminate.Index(items, s)
+    assert {t for _, text in items for t in text.split()} == set(ix.term)  # every word is indexed
+    texts = []
+    for k in range(60):
+        w = rng.choices(vocab, k=rng.randrange(0, 400))
+        part = items[k % 50][1].split()
+        at = rng.randrange(len(w) + 1)
+        texts.append(" ".join(w[:at] + [x for x in part if rng.random() < 0.6] + w[at:]))
+    t = words.tokenize(pa.array(texts), words.WORDS_ONLY, lower=True)
+    ids = ix.ids(t.hashes)
+    kept, retrieved, want = {(d, at): pivots for d, at, pivots in ix.candidates(ids, t.ends)}, set(), set()
+    for k, (a, b) in enumerate(zip([0, *t.ends[:-1].tolist()], t.ends.tolist(), strict=True)):
+        for at in range(0, max(1, b - a - s.passage + s.stride), s.stride):
+            found = ids[a + at : min(a + at + s.passage, b)]
+            found = np.unique(found[found >= 0])
+            full = np.zeros(ix.n)
+            for term in found:
+                i, j = ix.start[term], ix.start[term + 1]
+                full[ix.seg[i:j]] += ix.impact[i:j]
+            over = set(np.flatnonzero(full >= s.threshold - 1e-9).tolist())
+            want |= {(k, at, d) for d in over}
+            if (k, at) in kept:
+                retrieved |= {(k, at, d) for d, _ in ix.search(found, kept[k, at])}
+                assert {d for d, _ in ix.search(found)} == over
+    assert retrieved == want and len(want) > 50
+
+
+def test_items_of_one_text_are_one_item(spark):
+    bench = spark.createDataFrame([(i % 50 + 3, "which river flows through the old town? the green river") for i in range(5000)] + [(2, "another item about rivers? none of them")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so which river flows through the old town? the green river it is")], "doc_id long, text string")
+    for s in (decontaminate.Settings(), decontaminate.Settings(index_bytes=60)):
+        assert decontaminate.decontaminate(df, bench, s=s).first()["items"] == [3]
+
+
 def test_shards_match_the_mixture(spark):
     rows = [(i, f"t{i}", "big" if i % 3 else f"s{i % 7}") for i in range(4000)]
     got = sharding.shard_interleaved(spark.createDataFrame(rows, "doc_id long, text string, source string"), 40).collect()
@@ -243,6 +286,126 @@ def test_shards_match_the_mixture(spark):
     assert all(abs(counts[k, src] - n / 40) <= (8 if src == 'big' else 2) for k in range(40) for src, n in totals.items())
 
 
+def test_sources_of_one_row_and_rows_of_one_id_are_dealt_over_tasks(spark):
+    rows = [(i, f"t{i}", f"host{i}") for i in range(3000)] + [(7, "same", "big")] * 3000 + [(None, None, None)] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    real, tables = sharding.ranged, []
+    sharding.ranged = lambda *a: (tables.append(real(*a)), tables[-1])[1]
+    try:
+        got = sharding.shard_interleaved(df, 40, rows_per_part=500).collect()
+    finally:
+        sharding.ranged = real
+    for t in tables:
+        assert max(r["count"] for r in t.groupBy("part").count().collect()) < 3 * 500
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(k, j) for k in range(40) for j in range(200)]
+    # By definition: fractional ranks, then sources by name, null last.
+    order = sorted([(0.5, False, f"host{i}", 1) for i in range(3000)] + [((k + 0.5) / 3000, False, "big", k) for k in range(3000)] + [((k + 0.5) / 2000, True, "", k) for k in range(2000)])
+    assert [r["source"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == [None if null else name for _, null, name, _ in order]
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    rows = [(f"s{i:04d}" if i else "", i == 0, rng.choice([0, 1, 5, 40, 900])) for i in range(500)]
+    df = spark.createDataFrame(rows, "src string, no_src boolean, source_size long")
+    want = {(s, null): 0.0 for s, null, _ in rows}
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    weight = {r[:2]: k % 3 + 1 for k, r in enumerate(order)}
+    left, open_ = float(sum(r[2] for r in rows)), dict.fromkeys(want)
+    caps = {r[:2]: 3 * r[2] for r in rows}
+    while True:  # give by weight, stop those that are over, share the rest
+        level = left / sum(weight[k] for k in open_)
+        over = [k for k in open_ if caps[k] < level * weight[k]]
+        if not over:
+            want |= {k: level * weight[k] for k in open_}
+            break
+        for k in over:
+            want[k] = float(caps[k])
+            left -= caps[k]
+            del open_[k]
+    for per in (50_000, 40):
+        got = {(r["src"], r["no_src"]): r["target"] for r in mixing.targets(df, sources_per_part=per).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_quality_equals_updates_step_by_step(spark):
+    """Features of words by dictionary, one coordinate at a time; weights, scores and the order of learning."""
+    rng = random.Random(8)
+    good, bad = ["The river runs.", "a good, clear line", "words of sense"], ["buy buy buy now!!!", "click here here", "$$$ win ###"]
+    rows = [(i, " ".join(rng.choices(good if i % 3 else bad, k=rng.randrange(1, 6)))) for i in range(60)] + [(60, ""), (61, None)]
+    labels = [(i, int(i % 3 > 0)) for i in range(62) if i % 5]
+    s = quality.Settings()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"), "quality", s=s)
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, learned, s=s).collect()}
+
+    def vector(text):
+        w = re.findall(r"[0-9A-Za-z_]+|[^0-9A-Za-z_\s]+", (text or "").lower())
+        found = collections.Counter(w)
+        found.update("same" if a == b else (a, b) for a, b in zip(w, w[1:], strict=False))
+        found.update("skip" for a, b in zip(w, w[2:], strict=False) if a == b)
+        return {k: float(np.float32(n * (s.scale / max(len(w), 1)))) for k, n in found.items()} | {None: 1.0}
+
+    z, n, texts = collections.defaultdict(float), collections.defaultdict(float), dict(rows)
+    keys = spark.createDataFrame(labels, "id long, label int").withColumn("h", F.xxhash64(F.lit(s.seed), "id")).orderBy("h").collect()
+    order = [(vector(texts[r["id"]]), r["label"]) for r in keys]
+    weight = lambda k: 0.0 if abs(z[k]) <= s.l1 else (math.copysign(s.l1, z[k]) - z[k]) / ((s.beta + math.sqrt(n[k])) / s.alpha + s.l2)
+    logistic = lambda t: 1 / (1 + math.exp(-t))
+    steps = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for k in steps.permutation(len(order)):
+            x, label = order[k]
+            w = {f: weight(f) for f in x}
+            error = logistic(sum(w[f] * v for f, v in x.items())) - label
+            for f, v in x.items():
+                g = error * v
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / s.alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    want = {i: logistic(sum(weight(f) * v for f, v in vector(t).items())) for i, t in rows}
+    assert got == pytest.approx(want, abs=1e-4)
+    assert max(want.values()) > 0.8 and min(want.values()) < 0.2
+
+
+def test_language_is_that_of_the_nearest_centroid(spark, duck, monkeypatch):
+    """Every n-gram by itself, every centroid by its whole cosine; and slices of a long text give its counts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    m, s = language.fit(docs, "text", "lang", F.col("doc_id")), language.Settings()
+    rows = [(i, t) for i, t in duck.execute("SELECT doc_id, text FROM documents ORDER BY length(text) LIMIT 60").fetchall()] + [(-1, "ÀB c!!d"), (-2, " 12 "), (-3, None), (-4, "x")]
+
+    def place(gram):
+        h = 0
+        for c in gram:
+            h = (h << 21 | ord(c)) % 2**64
+        h = (h + len(gram)) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * factor % 2**64
+        return (h ^ (h >> 31)) >> (64 - s.bits)
+
+    def count(text):
+        t = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return collections.Counter(place(t[i : i + k]) for k in s.orders for i in range(len(t) - k + 1))
+
+    want = {}
+    for i, text in rows:
+        if not any(c.isalpha() for c in text or ""):
+            want[i] = ("und", 0.0)
+            continue
+        v = {p: math.log1p(n) * m.idf[p] for p, n in count(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(float(c[p]) * x for p, x in v.items()) / norm for c in m.centroids]
+        k = max(range(len(cosines)), key=lambda j: (round(cosines[j], 6), -j))
+        want[i] = (m.names[k], cosines[k])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert {i: x[1] for i, x in got.items()} == pytest.approx({i: x[1] for i, x in want.items()}, abs=1e-5)
+    table = language.letter_table()
+    for width in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(language, "SLICE", width)
+        for text in ("", "a", "ab  c 1 d", "  x", "no 12 letters  end  "):
+            found = language.counts(text, table, s)
+            assert ({} if found is None else {int(p): found[p] for p in np.flatnonzero(found)}) == (dict(count(text)) if any(map(str.isalpha, text)) else {})
+
+
 def test_accuracy_of_held_out_rows(spark, duck):
     got = {r["doc_id"]: r for r in queries.op9_language(spark, DATA).collect() if r["held_out"]}
     langs = dict(duck.execute("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL").fetchall())
