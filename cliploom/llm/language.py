@@ -43,6 +43,9 @@ class Model:
     least: dict[str, float] = field(default_factory=dict)  #: cosine under which a text is rejected
 
 
+SLICE = 1 << 20  #: characters of a text counted at a time
+
+
 def codes(text: str, table: np.ndarray) -> np.ndarray:
     """Code points in lower case; what is no letter becomes a space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -53,20 +56,30 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def counts(c: np.ndarray, s: Settings) -> np.ndarray:
-    """Counts of hashed n-grams of a text with a space at either end; runs of spaces count once."""
-    c = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]])
-    c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))].astype(np.uint64)
-    out = np.zeros(1 << s.bits)
-    for k in s.orders:
-        if len(c) < k:
-            continue
-        h = c[: len(c) - k + 1].copy()
-        for j in range(1, k):
-            h = (h << np.uint64(21)) | c[j : len(c) - k + 1 + j]
-        h = mixed(h + np.uint64(k)) >> np.uint64(64 - s.bits)
-        out += np.bincount(h.astype(np.int64), minlength=1 << s.bits)
-    return out
+def counts(text: str | None, table: np.ndarray, s: Settings) -> np.ndarray | None:
+    """Counts of hashed n-grams of a text with a space at either end; runs of spaces count once.  None for a text without a letter.
+
+    A long text is counted in slices, each with the end of the one before it.
+    """
+    text, out, any_letter = text or "", np.zeros(1 << s.bits), False
+    before, held = np.empty(0, np.uint64), np.array([32], np.uint32)
+    for a in range(0, max(len(text), 1), SLICE):
+        c = codes(text[a : a + SLICE], table)
+        any_letter |= bool((c != 32).any())
+        c = np.concatenate([held, c, np.full(int(a + SLICE >= len(text)), 32, np.uint32)])
+        held = np.empty(0, np.uint32)
+        last = np.append(before[-1] if len(before) else np.uint64(0), c[:-1])
+        c = np.concatenate([before, c[(c != 32) | (last != 32)].astype(np.uint64)])
+        for k in s.orders:
+            begin = max(0, len(before) - k + 1)  # n-grams that end in this slice
+            if (n := len(c) - begin - k + 1) > 0:
+                h = c[begin : begin + n].copy()
+                for j in range(1, k):
+                    h = (h << np.uint64(21)) | c[begin + j : begin + j + n]
+                h = mixed(h + np.uint64(k)) >> np.uint64(64 - s.bits)
+                out += np.bincount(h.astype(np.int64), minlength=1 << s.bits)
+        before = c[max(0, len(c) - max(s.orders) + 1) :]
+    return out if any_letter else None
 
 
 def vector(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -90,8 +103,8 @@ def cluster(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 def log_counts(text: str, table: np.ndarray, s: Settings) -> np.ndarray | None:
     """None for a text without a letter."""
-    c = codes(text, table)
-    return np.log1p(counts(c, s)).astype(np.float32) if (c != 32).any() else None
+    count = counts(text, table, s)
+    return None if count is None else np.log1p(count).astype(np.float32)
 
 
 def fit_arrays(rows: list[np.ndarray], langs: list[str], s: Settings) -> Model:
@@ -184,11 +197,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", s: Settings =
         for batch in pieces(batches, text_col):
             near, score, out = [], [], []
             for text in batch.column(text_col).to_pylist():
-                c = codes(text, table) if text else np.empty(0, np.uint32)
-                if m.centroids is None or not (c != 32).any():
+                count = None if m.centroids is None else counts(text, table, s)
+                if count is None:
                     near.append(None), score.append(0.0), out.append(True)
                     continue
-                sims = m.centroids @ vector(counts(c, s), m.idf).astype(np.float32)
+                sims = m.centroids @ vector(count, m.idf).astype(np.float32)
                 k = int(sims.argmax())
                 near.append(m.names[k]), score.append(float(min(1.0, max(0.0, sims[k])))), out.append(bool(sims[k] < least[k]))
             added = [pa.array(near, pa.string()), pa.array(score, pa.float64()), pa.array(out), pa.array([n or "und" for n in near], pa.string())]
