@@ -10,7 +10,7 @@ from pathlib import Path
 from . import benchmark as B
 from .plans import pack as P
 from .session import session
-from .sources.video import episode_frames
+from .sources.video import episode_frames, files_hash
 
 
 def _bench(given: dict) -> int:
@@ -30,16 +30,18 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="cliploom")
     commands = parser.add_subparsers(dest="command", required=True)
     pack = commands.add_parser("pack", help="pack frames (Parquet: episode, camera, frame_idx, data)")
-    pack.add_argument("frames", help="a Parquet folder, or with --videos a folder of videos (of a subfolder for each camera)")
-    pack.add_argument("output_dir")
+    pack.add_argument("frames", nargs="?", help="a Parquet folder, or with --videos a folder of videos (of a subfolder for each camera)")
+    pack.add_argument("output_dir", nargs="?")
     pack.add_argument("--videos", metavar="PATTERN", help="for instance *.mp4")
+    pack.add_argument("--episodes", metavar="FOLDER", help="the same as the first argument with --videos *.mp4")
+    pack.add_argument("--output", metavar="FOLDER", help="the same as the second argument")
     pack.add_argument("--backend", default="auto")
-    pack.add_argument("--crf", type=int, default=23)
+    pack.add_argument("--crf", type=int, default=18)
     pack.add_argument("--num-workers", type=int)
     pack.add_argument("--clip-length", type=int, default=16)
     pack.add_argument("--clip-stride", type=int)
-    pack.add_argument("--clips-per-shard", type=int, default=100)
-    pack.add_argument("--max-clips-per-episode", type=int)
+    pack.add_argument("--clips-per-shard", type=int, default=1000)
+    pack.add_argument("--clips-per-episode", type=int)
     pack.add_argument("--codec", choices=P.CODECS, default="h264")
     pack.add_argument("--seed", type=int, default=42)
     pack.add_argument("--cameras", type=lambda s: tuple(c.strip() for c in s.split(",")))
@@ -69,8 +71,17 @@ def main(args: list[str] | None = None) -> int:
         return int(not found)
     spark = session()
     if command == "pack":
-        source, pattern = given.pop("frames"), given.pop("videos")
-        frames = spark.read.parquet(source) if pattern is None else episode_frames(spark, source, given["cameras"], given["backend"], pattern)
+        source, pattern, episodes, output = (given.pop(k) for k in ("frames", "videos", "episodes", "output"))
+        if episodes:
+            source, pattern = episodes, pattern or "*.mp4"
+        given["output_dir"] = output or given["output_dir"]
+        if not source or not given["output_dir"]:
+            parser.error("pack needs episodes and an output folder")
+        if pattern is None:
+            frames = spark.read.parquet(source)
+        else:
+            frames = episode_frames(spark, source, given["cameras"], given["backend"], pattern)
+            given["source_hash"] = files_hash(spark, source, given["cameras"], pattern)
         print(P.pack_shards(frames, P.PackConfig(**given)).summary())
         return 0
     if command == "info":

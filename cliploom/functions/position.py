@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 MAX_CUTS = 255  #: values that cut an order which isn't one of hashes
 
 
+SMALL = 100_000  #: rows that may be broadcast
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has up to ``rows`` rows, else as it is: Spark then shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _placed(df: DataFrame, bucket: Column, order: tuple[str, ...], into: str) -> DataFrame:
     """Rows are numbered inside a bucket; running sums of the bucket counts, which are broadcast, add the rest."""
     bucketed = df.withColumn("_bucket", bucket.cast("int"))

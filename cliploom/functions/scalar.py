@@ -73,6 +73,10 @@ def megabytes(size: Column) -> Column:
     return size / F.lit(1024.0 * 1024.0)
 
 
+def summary(clips: Column, frames: Column, shards: Column, size: Column) -> Column:
+    return F.format_string("%d clips, %d frames, %d shards, %.1f MB", clips, frames, shards, megabytes(size))
+
+
 def codec_settings(codec: Column, crf: Column) -> Column:
     """Pixel format, quality option and group of pictures of each codec; every frame is a keyframe."""
     return F.struct(

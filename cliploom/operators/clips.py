@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.position import with_position
+from ..functions.position import small, with_position
 from ..functions.scalar import seek, seeded, shard_file
 
 
@@ -45,16 +47,34 @@ def frames_of(clips: DataFrame, frames: DataFrame) -> DataFrame:
     return each.join(frames, ["video_id", "frame_idx"])
 
 
-def labels_of(clips: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (video_id, at, ...) that lie in each clip."""
+def dataset(frames: DataFrame, sampled: DataFrame, transform: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """One clip a video: the frames that a sampler gave (video_id, pos, frame_idx), with functions of columns applied."""
+    clips = sampled.join(frames, ["video_id", "frame_idx"])
+    return clips.withColumns({name: f(F.col(name)) for name, f in (transform or {}).items()})
+
+
+def by_shard(clips: DataFrame) -> DataFrame:
+    """(shard_id, clips): what each shard holds, in its order; a shard's clips are bounded by the plan."""
+    each = F.struct("clip_index", "video_id", "frame_start")
+    return clips.groupBy("shard_id").agg(F.sort_array(F.collect_list(each)).alias("clips"))
+
+
+def labels_of(clips: DataFrame, labels: DataFrame, width: int = 64) -> DataFrame:
+    """Labels (video_id, at, ...) that lie in each clip.
+
+    Both meet in stretches of ``width`` frames, of which a clip has a few: work follows the labels of a clip, not those of its video.
+    """
     inside = (F.col("at") >= F.col("frame_start")) & (F.col("at") < F.col("frame_end"))
-    return clips.join(labels, "video_id").filter(inside)
+    stretch = lambda c: F.floor(c / width).cast("long")
+    some = clips.filter("frame_end > frame_start")
+    each = some.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("frame_start")), stretch(F.col("frame_end") - 1))))
+    return each.join(labels.withColumn("_stretch", stretch(F.col("at"))), ["video_id", "_stretch"]).filter(inside).drop("_stretch")
 
 
 def sync(frames: DataFrame, times: DataFrame, fps: float) -> DataFrame:
     """The frame of each camera (episode, camera, frame_idx) at each time of a small table."""
     n = frames.groupBy("episode", "camera").agg(F.count(F.lit(1)).alias("num_frames"))
-    wanted = n.crossJoin(F.broadcast(times.select("ts"))).select("episode", "camera", "ts", seek(F.col("ts"), F.lit(fps), F.col("num_frames")).alias("frame_idx"))
+    wanted = n.crossJoin(small(times.select("ts"))).select("episode", "camera", "ts", seek(F.col("ts"), F.lit(fps), F.col("num_frames")).alias("frame_idx"))
     return frames.join(wanted, ["episode", "camera", "frame_idx"])
 
 
@@ -82,9 +102,12 @@ def totals(shard_rows: DataFrame) -> DataFrame:
 
 
 def verify(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """(file, status): ok, missing or wrong_count, from the manifest's shards and the files' clip counts."""
-    joined = expected.select("file", F.col("num_clips").alias("want")).join(found.select("file", F.col("num_clips").alias("have")), "file", "left")
-    return joined.select("file", F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("want"), "wrong_count").otherwise("ok").alias("status"))
+    """(file, status): ok, missing or wrong_count, from the manifest's shards and what the files hold: clips and frames."""
+    counts = ("num_clips", "num_frames")
+    have = found.select("file", *[F.col(c).alias(f"have_{c}") for c in counts])
+    joined = expected.select("file", *counts).join(have, "file", "left")
+    wrong = (F.col("have_num_clips") != F.col("num_clips")) | (F.col("have_num_frames") != F.col("num_frames"))
+    return joined.select("file", F.when(F.col("have_num_clips").isNull(), "missing").when(wrong, "wrong_count").otherwise("ok").alias("status"))
 
 
 def per_episode(clips: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
+from .functions.position import with_ordered_position
 from .operators import clips as C
 from .operators import index as I
 from .operators import sampling as P
 from .operators import select as L
+from .plans import pack as K
 from .plans import views as V
+from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -268,7 +271,7 @@ def stream_clips_workers(spark, d):
 @query(f"WITH {EF}, {PLAN}, {SHUF}, {STATS} SELECT file, CASE WHEN shard_id % 7 = 3 THEN 'missing' WHEN shard_id % 5 = 2 THEN 'wrong_count' ELSE 'ok' END AS status FROM g")
 def verify_shards(spark, d):
     stats = C.shard_stats(event_clips(spark, d), LENGTH)
-    found = stats.filter("shard_id % 7 <> 3").select("file", (F.col("num_clips") - F.when(F.col("shard_id") % 5 == 2, 1).otherwise(0)).alias("num_clips"))
+    found = stats.filter("shard_id % 7 <> 3").select("file", "num_clips", (F.col("num_frames") - F.when(F.col("shard_id") % 5 == 2, 1).otherwise(0)).alias("num_frames"))
     return C.verify(stats, found)
 
 
@@ -317,10 +320,9 @@ def fourcc(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", S.fourcc(value.cast("long")).alias("code"))
 
 
-@query(f"WITH {EF} SELECT video_id, frame_idx, (frame_idx * 15360) // 30 AS pts FROM f WHERE frame_idx < 40")
+@query(f"WITH {EF} SELECT video_id, frame_idx, (frame_idx * 15360) // 30 AS pts FROM f")
 def pts_of_frame(spark, d):
-    f = V.event_frames(spark, d).filter("frame_idx < 40")
-    return f.select("video_id", "frame_idx", S.pts_of_frame(F.col("frame_idx"), F.lit(30), 1, 15360).alias("pts"))
+    return V.event_frames(spark, d).select("video_id", "frame_idx", S.pts_of_frame(F.col("frame_idx"), F.lit(30), 1, 15360).alias("pts"))
 
 
 LF = """l AS (SELECT l_orderkey AS video_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS frame_idx, l_quantity AS value FROM lineitem),
@@ -380,3 +382,80 @@ def action_join(spark, d):
     labels = V.event_frames(spark, d).filter("is_keyframe").select("video_id", F.col("frame_idx").alias("at"), "value")
     joined = C.labels_of(C.plan(event_videos(spark, d), LENGTH, STRIDE), labels)
     return joined.groupBy("video_id", "frame_start").agg(F.count(F.lit(1)).alias("errors"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {EF}, u AS (SELECT video_id, {uniform_sql(8, 'n')} FROM v) SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS pos, frame_idx, value / 255 AS value FROM u JOIN f USING (video_id, frame_idx)")
+def clip_dataset(spark, d):
+    f = V.event_frames(spark, d)
+    return C.dataset(f, P.uniform(V.lengths(f), 8), {"value": lambda x: x / 255}).select("video_id", long("pos"), "frame_idx", "value")
+
+
+@query(f"WITH {EF} SELECT video_id, unnest([0, n // 2, n - 1]) AS frame_idx FROM v")
+def sample_custom(spark, d):
+    return P.custom(event_videos(spark, d), lambda n: F.array(F.lit(0).cast("long"), F.floor(n / 2), n - 1)).select("video_id", "frame_idx")
+
+
+@query(f"WITH {EF} SELECT video_id, i AS trial, {draw_sql("'5:' || video_id || ':' || i", 'n - 16 + 1')} AS start FROM v, range(20) r(i) WHERE n >= 16")
+def bench_starts_random(spark, d):
+    return P.benchmark_starts(event_videos(spark, d), 20, LENGTH, "random", 5).select("video_id", long("trial"), "start")
+
+
+@query(f"WITH {EF}, {PLAN}, {SHUF} SELECT position, video_id, frame_start FROM s ORDER BY position LIMIT 12")
+def first_clips(spark, d):
+    return event_clips(spark, d).select("position", "video_id", "frame_start").orderBy("position").limit(12)
+
+
+@query(f"WITH {EF}, {PLAN}, {SHUF} SELECT shard_id, string_agg(video_id || ':' || frame_start, ',' ORDER BY clip_index) AS clips FROM h GROUP BY shard_id")
+def clips_by_shard(spark, d):
+    label = F.transform("clips", lambda c: F.concat_ws(":", c["video_id"].cast("string"), c["frame_start"].cast("string")))
+    return C.by_shard(event_clips(spark, d)).select("shard_id", F.array_join(label, ",").alias("clips"))
+
+
+@query(f"WITH {EF}, {PLAN}, {SHUF}, {STATS} SELECT printf('%d clips, %d frames, %d shards, %.1f MB', sum(num_clips)::BIGINT, sum(num_frames)::BIGINT, count(*), sum(size_bytes)::DOUBLE / 1048576) AS summary FROM g")
+def pack_summary(spark, d):
+    t = C.totals(C.shard_stats(event_clips(spark, d), LENGTH, 8).withColumn("camera", F.lit(None).cast("string")))
+    return t.select(S.summary(*[F.col(c).cast("long") for c in ("total_clips", "total_frames", "num_shards", "total_size_bytes")]).alias("summary"))
+
+
+@query("SELECT source || '/' || doc_id || '.mp4' AS path, row_number() OVER (ORDER BY source || '/' || doc_id || '.mp4') - 1 AS position FROM documents")
+def path_order(spark, d):
+    return with_ordered_position(V.doc_files(spark, d).select("path"), "path")
+
+
+@query("SELECT doc_id, round(n_chars / 1048576.0::DOUBLE, 12) AS mb FROM documents")
+def file_megabytes(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", F.round(S.megabytes(F.col("n_chars")), 12).alias("mb"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN trunc(o_totalprice / 1000 * 30)::BIGINT ELSE o_orderkey % 100 + 1 END AS num_frames FROM orders")
+def frame_count_fallback(spark, d):
+    stored = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("o_orderkey") % 100 + 1)
+    return V.table(spark, d, "orders").select("o_orderkey", S.frame_count(stored, F.col("o_totalprice") / 1000, F.lit(30)).alias("num_frames"))
+
+
+@query("SELECT p_partkey, p_size AS width, (p_partkey % 7 + 1)::INT AS height, trim(p_brand) AS first_name, trim(p_type) AS second_name FROM part")
+def split_options(spark, d):
+    part = V.table(spark, d, "part")
+    width, height = S.resolution(F.concat_ws("x", F.col("p_size").cast("string"), (F.col("p_partkey") % 7 + 1).cast("string")))
+    names = S.names(F.concat(F.lit(" "), "p_brand", F.lit(" , "), "p_type"))
+    return part.select("p_partkey", width.alias("width"), height.alias("height"), names[0].alias("first_name"), names[1].alias("second_name"))
+
+
+def packed(spark: SparkSession, d: str) -> K.Shards:
+    """Events packed and written as shards, to be read back."""
+    frames = V.event_frames(spark, d).select(F.col("video_id").cast("string").alias("episode"), F.lit(None).cast("string").alias("camera"), "frame_idx", F.col("value").cast("string").cast("binary").alias("data"))
+    out = fresh_path(spark, "packed")
+    K.pack_shards(frames, K.PackConfig(out, clip_length=LENGTH, clip_stride=STRIDE, clips_per_shard=PER_SHARD, seed=SEED))
+    return K.Shards(spark, out)
+
+
+@query(f"WITH {EF}, {PLAN}, {SHUF}, {STATS}, {EPOCH} SELECT o.position, clip_index, frame_idx - frame_start AS at_, value FROM h JOIN o USING (shard_id) JOIN f ON f.video_id = h.video_id AND frame_idx >= frame_start AND frame_idx < frame_start + {LENGTH} WHERE o.position % 2 = 1")
+def pack_read_epoch(spark, d):
+    clips = packed(spark, d).epoch(3, SEED, worker=1, workers=2).select("position", "clip_index", F.posexplode("clip").alias("at_", "data"))
+    return clips.select("position", "clip_index", long("at_"), F.col("data").cast("string").cast("double").alias("value"))
+
+
+@query(f"WITH {EF}, {PLAN}, {SHUF} SELECT frame_idx - frame_start AS at_, value FROM h JOIN f ON f.video_id = h.video_id AND frame_idx >= frame_start AND frame_idx < frame_start + {LENGTH} WHERE position = 17")
+def pack_read_clip(spark, d):
+    clip = packed(spark, d).clip(17)
+    return clip.select((F.col("shard_frame_idx") - F.col("clip_index") * LENGTH).alias("at_"), F.col("data").cast("string").cast("double").alias("value"))

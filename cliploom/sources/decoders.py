@@ -28,6 +28,7 @@ class Decoder(ABC):
     width: int = 0
     height: int = 0
     codec: str = "unknown"
+    device: str = "cpu"  #: for those that can decode elsewhere: cuda, cuda:1
 
     @abstractmethod
     def open(self, path: str) -> None: ...
@@ -99,7 +100,8 @@ class OpenCv(Decoder):
 class Decord(Decoder):
     def open(self, path: str) -> None:
         lib = _library("decord")
-        self.reader = lib.VideoReader(path, ctx=lib.cpu(0))
+        kind, _, number = self.device.partition(":")
+        self.reader = lib.VideoReader(path, ctx=lib.cpu(0) if kind == "cpu" else lib.gpu(int(number or 0)))
         self.num_frames, self.fps = len(self.reader), float(self.reader.get_avg_fps())
         if self.num_frames:
             self.height, self.width = self.reader[0].shape[:2]
@@ -110,12 +112,12 @@ class Decord(Decoder):
 
 class TorchCodec(Decoder):
     def open(self, path: str) -> None:
-        self.reader = _library("torchcodec.decoders").VideoDecoder(path)
+        self.reader = _library("torchcodec.decoders").VideoDecoder(path, device=self.device)
         m = self.reader.metadata
         self.num_frames, self.fps, self.width, self.height, self.codec = m.num_frames, m.average_fps, m.width, m.height, m.codec
 
     def read_frame(self, i: int) -> np.ndarray:
-        return self.reader[self.checked(i)].permute(1, 2, 0).numpy()
+        return self.reader[self.checked(i)].permute(1, 2, 0).cpu().numpy()
 
 
 class PyAv(Decoder):
@@ -153,11 +155,12 @@ def check_name(name: str) -> str:
     return name
 
 
-def opened(path: str, name: str = "auto") -> Decoder:
-    """An open decoder; ``auto`` passes over those whose library is missing."""
+def opened(path: str, name: str = "auto", device: str = "cpu") -> Decoder:
+    """An open decoder; ``auto`` passes over those whose library is missing.  Only torchcodec and decord heed the device."""
     check_name(name)
     for one in (["npy"] if path.endswith(".npy") else list(AUTO)) if name == "auto" else [name]:
         decoder = DECODERS[one]()
+        decoder.device = device
         try:
             decoder.open(path)
             return decoder

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.pack import PackConfig, pack_shards
+from ..plans.pack import PackConfig, _located, complete_packs, current, pack_shards
 
 FRAMES = "episode string, camera string, frame_idx long, data binary"
 
@@ -15,8 +15,8 @@ FRAMES = "episode string, camera string, frame_idx long, data binary"
 def pack_arrivals(spark: SparkSession, source: str, config: PackConfig, checkpoint: str):
     """Pack what is new in ``source`` (Parquet files of whole episodes) and stop.
 
-    Each batch is a pack version below ``output_dir``.  A batch that is repeated after a failure
-    overwrites its own version, so nothing is packed twice; the checkpoint remembers what is done.
+    Each batch is a version below ``output_dir``.  A batch that is repeated after a failure
+    makes another pack of its own version, and the newest counts, so nothing is packed twice; the checkpoint remembers what is done.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -30,5 +30,10 @@ def pack_arrivals(spark: SparkSession, source: str, config: PackConfig, checkpoi
 
 
 def merged(spark: SparkSession, folder: str, kind: str = "clips") -> DataFrame:
-    """Clips or shards of all versions, with their version."""
-    return spark.read.option("basePath", folder).parquet(f"{folder.rstrip('/')}/version=*/{kind}").withColumn("version", F.col("version").cast("long"))
+    """Clips or shards of all versions, of the newest pack of each, with their version."""
+    path, fs = _located(spark, f"{folder.rstrip('/')}/version=*")
+    found = [current(spark, f.getPath().toString()) for f in fs.globStatus(path) or () if complete_packs(spark, f.getPath().toString())]
+    if not found:
+        raise FileNotFoundError(f"no pack in {folder}")
+    read = spark.read.option("basePath", folder).parquet(*[f"{p}/{kind}" for p in found])
+    return read.withColumn("version", F.col("version").cast("long")).drop("pack")

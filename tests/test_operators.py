@@ -84,6 +84,22 @@ def test_point_lookup_reaches_the_scan(spark, frames, tmp_path):
     assert "EqualTo(frame_idx,5)" in plan and "Exchange" not in plan
 
 
+def test_slices_and_lists_reach_the_scan(spark, frames, tmp_path):
+    frames.write.parquet(str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    for df in (L.frame_slice(stored, 3, 9, 2), L.frame_slice(stored, 5), L.frame_fancy(stored, [5, 2, 5])):
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "PushedFilters: [" in plan and "frame_idx" in plan.split("PushedFilters")[1] and "Exchange" not in plan and "Join" not in plan
+
+
+def test_labels_of_clips(spark):
+    clips = spark.createDataFrame([("a", s, s + n) for s in (0, 5, 60, 63, 64, 190) for n in (1, 7, 64, 150)] + [("a", 9, 9), ("b", 0, 50)], "video_id string, frame_start long, frame_end long")
+    labels = spark.createDataFrame([("a", k, f"l{k}") for k in range(0, 400, 3)] + [("b", 49, "x"), ("b", 50, "y")], "video_id string, at long, name string")
+    want = clips.crossJoin(labels.withColumnRenamed("video_id", "v")).filter("v = video_id and at >= frame_start and at < frame_end").drop("v")
+    key = ["video_id", "frame_start", "frame_end", "at", "name"]
+    assert sorted(map(tuple, C.labels_of(clips, labels).select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+
+
 def test_seek_truncates_and_clamps(spark):
     df = spark.createDataFrame([(0.5,), (-1.0,), (99.0,), (0.0999,)], "ts double").select(S.seek(F.col("ts"), F.lit(30.0), F.lit(60)).alias("i"))
     assert [r["i"] for r in df.collect()] == [15, 0, 59, 2]

@@ -30,7 +30,7 @@ def frames(spark):
 @pytest.fixture(scope="module")
 def packed(frames, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("packed"))
-    result = P.pack_shards(frames, P.PackConfig(out, clip_length=8, clips_per_shard=5, user_metadata={"by": "test"}))
+    result = P.pack_shards(frames, P.PackConfig(out, clip_length=8, clips_per_shard=5, metadata={"by": "test"}))
     assert (result.num_shards, result.total_clips, result.total_frames) == (10, 21, 336) and "21 clips" in result.summary()
     return out
 
@@ -59,7 +59,7 @@ def test_epochs(spark, packed):
 
 def test_manifest_verify_info_cli(spark, packed, tmp_path, capsys):
     m = P.load_manifest(spark, packed)
-    assert m["version"] == 2 and m["pack_config"]["clip_length"] == 8 and m["user_metadata"] == {"by": "test"} and m["pack_config"]["crf"] == 23
+    assert m["version"] == 2 and m["pack_config"]["clip_length"] == 8 and m["user_metadata"] == {"by": "test"} and m["pack_config"]["crf"] == 18
     assert {r["status"] for r in P.verify(spark, packed).collect()} == {"ok"}
     assert P.info(spark, packed)["episodes"] == 3
     assert cli.main(["verify", packed]) == 0 and cli.main(["info", packed]) == 0
@@ -67,16 +67,46 @@ def test_manifest_verify_info_cli(spark, packed, tmp_path, capsys):
 
     broken = tmp_path / "broken"
     shutil.copytree(packed, broken)
-    shutil.rmtree(broken / "frames" / "shard_id=2")
+    shutil.rmtree(broken / "pack=0" / "frames" / "shard_id=2")
     assert cli.main(["verify", str(broken)]) == 1 and "missing" in capsys.readouterr().out
     with pytest.raises(FileNotFoundError):
         P.load_manifest(spark, str(tmp_path / "none"))
-    (tmp_path / "old" / "manifest").mkdir(parents=True)
-    (tmp_path / "old" / "manifest" / "x.json").write_text('{"version": 1}')
+    (tmp_path / "old" / "pack=0" / "manifest").mkdir(parents=True)
+    (tmp_path / "old" / "pack=0" / "manifest" / "x.json").write_text('{"version": 1}')
+    (tmp_path / "old" / "pack=0" / "manifest" / "_SUCCESS").touch()
     with pytest.raises(ValueError):
         P.load_manifest(spark, str(tmp_path / "old"))
 
 
+def test_verify_counts_frames(spark, packed, tmp_path):
+    import shutil
+
+    broken = tmp_path / "broken"
+    shutil.copytree(packed, broken)
+    one = broken / "pack=0" / "frames" / "shard_id=1"
+    few = spark.read.parquet(str(one)).filter("shard_frame_idx % 8 = 0")  # a frame of every clip
+    few.write.parquet(str(tmp_path / "few"))
+    shutil.rmtree(one)
+    shutil.copytree(tmp_path / "few", one)
+    bad = [(r["file"], r["status"]) for r in P.verify(spark, str(broken)).collect() if r["status"] != "ok"]
+    assert sorted(bad) == [("shard_0001_left.mp4", "wrong_count"), ("shard_0001_right.mp4", "wrong_count")]
+
+
+def test_a_pack_that_breaks_off_is_not_seen(spark, frames, tmp_path, monkeypatch):
+    out, small = str(tmp_path / "out"), frames.filter("episode = 'episode_0'")
+    P.pack_shards(small, P.PackConfig(out, clip_length=8, seed=1))
+    before = P.load_manifest(spark, out)
+    monkeypatch.setattr(P, "_manifest", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        P.pack_shards(frames, P.PackConfig(out, clip_length=8, seed=2))
+    assert P.load_manifest(spark, out) == before and len(P.Shards(spark, out, "left")) == 7
+    monkeypatch.undo()
+    for seed in (3, 4):
+        P.pack_shards(frames, P.PackConfig(out, clip_length=8, seed=seed))
+    assert P.load_manifest(spark, out)["pack_config"]["seed"] == 4 and len(P.Shards(spark, out, "left")) == 21
+    assert P.complete_packs(spark, out) == [2, 3]  # the newest and the one before it
+
+
 def test_config():
     with pytest.raises(ValueError):
         P.PackConfig("x", codec="vp9")
@@ -107,13 +137,25 @@ def test_video_source_and_sink(spark, tmp_path):
     np.save(tmp_path / "a.npy", data)
     (tmp_path / "bad.npy").write_bytes(b"no")
     video.register(spark)
-    both = f"{tmp_path}/a.npy,{tmp_path}/bad.npy"
-    meta = {r["path"][-5:]: r for r in spark.read.format("video_meta").load(both).collect()}
+    (tmp_path / "a,b.txt").write_bytes(b"not a video")
+    meta = {r["path"][-5:]: r for r in spark.read.format("video_meta").option("pattern", "*.npy").load(str(tmp_path)).collect()}
+    assert len(meta) == 2
     assert meta["a.npy"]["num_frames"] == 20 and meta["a.npy"]["error"] is None and meta["d.npy"]["error"]
-    got = spark.read.format("video").load(both).filter("frame_idx >= 4 and frame_idx < 7").orderBy("frame_idx").collect()
+    got = spark.read.format("video").option("pattern", "*.npy").load(str(tmp_path)).filter("frame_idx >= 4 and frame_idx < 7").orderBy("frame_idx").collect()
     assert [bytes(r["data"]) for r in got] == [solid(4), solid(5), solid(6)]
     video.write_videos(spark.read.format("video").load(f"{tmp_path}/a.npy"), str(tmp_path / "out"))
-    assert (np.load(tmp_path / "out" / "a.npy") == data).all()
+    at = tmp_path / "out" / video.stored_name(f"{tmp_path}/a.npy")
+    assert (np.load(at) == data).all() and [f.name for f in (tmp_path / "out").iterdir()] == [at.name]
+    # Paths of one name in two folders are two files; a job that fails leaves what was there.
+    one = spark.read.format("video").load(f"{tmp_path}/a.npy")
+    loaded = lambda n, path: spark.read.format("video").load(f"{tmp_path}/a.npy").filter(f"frame_idx < {n}").withColumn("path", F.lit(path))
+    two = loaded(2, "/x/a.npy").unionByName(loaded(3, "/y/a.npy"))
+    video.write_videos(two, str(tmp_path / "out"))
+    assert [len(np.load(tmp_path / "out" / video.stored_name(p))) for p in ("/x/a.npy", "/y/a.npy")] == [2, 3]
+    with pytest.raises(Exception, match="shape"):
+        video.write_videos(one.withColumn("height", F.when(F.col("frame_idx") == 19, 3).otherwise(F.col("height"))).unionByName(two), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 3 and (np.load(at) == data).all()
+    assert video.as_array(one.filter("frame_idx in (3, 1)")).tolist() == data[[1, 3]].tolist()
     with pytest.raises(ValueError):
         decoders.opened("x", "nope")
     with pytest.raises(decoders.DecoderNotAvailable):
@@ -204,6 +246,8 @@ def test_videos_to_shards(spark, tmp_path):
 
 def test_fingerprint(frames):
     h = P.fingerprint(frames)
+    again = frames.withColumn("data", F.when((F.col("episode") == "episode_1") & (F.col("frame_idx") == 3), F.lit(b"recorded anew")).otherwise(F.col("data")))
+    assert h != P.fingerprint(again)
     assert h == P.fingerprint(frames.orderBy(F.desc("frame_idx")).repartition(5)) and h != P.fingerprint(frames.filter("not (episode = 'episode_1' and frame_idx = 3)"))
 
 
@@ -226,3 +270,146 @@ def test_decode_benchmark(tmp_path, capsys):
     assert [x.name for x in benchmark.run_all(video, str(tmp_path / "all"), ("npy", "decord"), num_trials=2)] == ["npy"]
     with pytest.raises(ValueError):
         benchmark.DecodeConfig(video, seek_mode="backwards")
+
+
+def test_files_hash(spark, tmp_path):
+    for c in ("l", "r"):
+        (tmp_path / c).mkdir()
+        (tmp_path / c / "e,0.npy").write_bytes(b"1")
+    of = lambda cameras=("l", "r"): video.files_hash(spark, str(tmp_path), list(cameras), "*.npy")
+    first = of()
+    assert first == of(("r", "l")) and len({first, of("l"), video.files_hash(spark, str(tmp_path / "l"), None, "*.npy")}) == 3
+    (tmp_path / "r" / "e,0.npy").write_bytes(b"22")
+    assert of() != first
+
+
+class FakeTensor:
+    def __init__(self, x):
+        self.x = x
+
+    def permute(self, *axes):
+        return FakeTensor(self.x.transpose(axes))
+
+    def cpu(self):
+        return self
+
+    def numpy(self):
+        return self.x
+
+
+@pytest.fixture
+def libraries(monkeypatch):
+    """Stand-ins with the interfaces of the four decoder libraries, for a video of 12 frames."""
+    import sys
+    from fractions import Fraction
+    from types import ModuleType, SimpleNamespace
+
+    data, told = np.random.default_rng(0).integers(0, 256, (12, 4, 6, 3), np.uint8), []
+
+    class Capture:
+        def __init__(self, path):
+            self.at = 0
+
+        def get(self, key):
+            return {0: 25.0, 1: 12.0, 2: 6.0, 3: 4.0, 4: float(int.from_bytes(b"avc1", "little"))}[key]
+
+        def set(self, key, value):
+            self.at = int(value)
+
+        def read(self):
+            return True, data[self.at][:, :, ::-1]
+
+        def release(self):
+            told.append("released")
+
+    class Decord:
+        def __init__(self, path, ctx):
+            told.append(ctx)
+
+        def __len__(self):
+            return 12
+
+        def get_avg_fps(self):
+            return 25.0
+
+        def __getitem__(self, i):
+            return SimpleNamespace(shape=data[i].shape, asnumpy=lambda: data[i])
+
+    class Codec:
+        def __init__(self, path, device):
+            told.append(device)
+            self.metadata = SimpleNamespace(num_frames=12, average_fps=25.0, width=6, height=4, codec="avc1")
+
+        def __getitem__(self, i):
+            return FakeTensor(data[i].transpose(2, 0, 1))
+
+    class Box:
+        base = Fraction(1, 12800)
+
+        def __init__(self):
+            self.stream = SimpleNamespace(average_rate=Fraction(25), frames=0, duration=12 * 512, time_base=self.base, width=6, height=4, codec_context=SimpleNamespace(name="avc1"))
+            self.streams, self.at = SimpleNamespace(video=[self.stream]), 0
+
+        def seek(self, pts, stream):
+            self.at = pts // 512 // 5 * 5  # a keyframe at or before it
+
+        def decode(self, stream):
+            for i in range(self.at, 12):
+                yield SimpleNamespace(pts=i * 512, to_ndarray=lambda format, i=i: data[i])
+
+        def close(self):
+            told.append("closed")
+
+    made = {
+        "cv2": {"VideoCapture": Capture} | {f"CAP_PROP_{k}": i for i, k in enumerate(("FPS", "FRAME_COUNT", "FRAME_WIDTH", "FRAME_HEIGHT", "FOURCC", "POS_FRAMES"))},
+        "decord": {"VideoReader": Decord, "cpu": lambda k: ("cpu", k), "gpu": lambda k: ("gpu", k)},
+        "torchcodec": {}, "torchcodec.decoders": {"VideoDecoder": Codec},
+        "av": {"open": lambda path: Box()},
+    }
+    for name, content in made.items():
+        module = ModuleType(name)
+        module.__dict__.update(content)
+        monkeypatch.setitem(sys.modules, name, module)
+    return data, told
+
+
+@pytest.mark.parametrize("name", decoders.AUTO)
+def test_adapters_keep_the_contract(libraries, name):
+    data, told = libraries
+    with decoders.opened("x.mp4", name, "cuda:1") as d:
+        assert (d.num_frames, d.width, d.height, float(d.fps)) == (12, 6, 4, 25.0) and d.codec == ("unknown" if name == "decord" else "avc1")
+        for i in (0, 7, 11, 3):
+            assert (d.read_frame(i) == data[i]).all()
+        assert (np.stack(list(d.read_clip(2, 9))) == data[2:9]).all() and d.seek(0.3) == 7 and d.seek(9) == 11 and d.seek(-1) == 0
+        for bad in (lambda: d.read_frame(12), lambda: d.read_frame(-1), lambda: list(d.read_clip(3, 3)), lambda: list(d.read_clip(5, 13))):
+            with pytest.raises(IndexError):
+                bad()
+    assert told == {"opencv": ["released"], "decord": [("gpu", 1)], "torchcodec": ["cuda:1"], "pyav": ["closed"]}[name]
+
+
+def test_auto_takes_the_first_that_is_installed(libraries, monkeypatch):
+    import sys
+
+    assert isinstance(decoders.opened("x.mp4"), decoders.TorchCodec)
+    for missing, then in (("torchcodec.decoders", decoders.Decord), ("decord", decoders.PyAv), ("av", decoders.OpenCv)):
+        monkeypatch.setitem(sys.modules, missing, None)
+        assert isinstance(decoders.opened("x.mp4"), then)
+
+
+def test_a_decoder_of_ones_own(monkeypatch):
+    class Grey(decoders.Npy):
+        def open(self, path):
+            self.data = np.full((3, 2, 2, 3), 7, np.uint8)
+            self.num_frames, self.height, self.width = 3, 2, 2
+
+    monkeypatch.setattr(decoders, "DECODERS", dict(decoders.DECODERS))
+    decoders.register("grey", Grey)
+    assert decoders.check_name("grey") == "grey" and (decoders.opened("any", "grey").read_frame(2) == 7).all()
+
+
+def test_command_line_with_named_folders(tmp_path):
+    (tmp_path / "in").mkdir()
+    np.save(tmp_path / "in" / "e.npy", np.zeros((20, 2, 2, 3), np.uint8))
+    assert cli.main(["pack", "--episodes", str(tmp_path / "in"), "--videos", "*.npy", "--output", str(tmp_path / "out"), "--clips-per-episode", "1"]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["pack", "--episodes", str(tmp_path / "in")])

@@ -40,3 +40,16 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_entry_hides_no_other_missing_module(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    gone = "import sys; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; print(len(e.queries()))"
+    # A name set to None raises what a deleted module raises.
+    assert int(run(gone).stdout) == len(QUERIES)
+    broken = "import sys; sys.modules['numpy'] = None\nimport __spark_entry__"
+    assert run(broken).returncode != 0
