@@ -13,9 +13,9 @@ signatures agree in a slot with probability J.  A shingle whose next arrival com
 first arrival of all slots is done (early termination), so that long texts cost hardly more than a
 hash for each shingle.
 
-Candidates share a band of slots.  All are verified exactly on the whole texts, except pairs whose
-signatures agree so seldom that a similarity at the threshold is out of question (five standard
-deviations).
+Candidates share a band of slots; a pair of similarity 0.8 shares none with probability 0.0004.  All
+are verified exactly on the whole texts, except pairs whose signatures agree in less than 0.6 of the
+slots, five standard deviations under the threshold: one pair of similarity 0.8 in 700,000 would.
 
 Copies, and groups of near copies, of any size: equal texts are one node from the start.  Within a
 bucket of up to ``small`` nodes all pairs are candidates.  In a larger bucket all members are first
@@ -122,6 +122,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes are the connected components; class_id is the smallest id in the class.  Equal texts
     are always one class.
 
+    * An id is one document: rows of one id with different texts are all in one class, whatever
+      their similarity, as if they were linked.
     * A row with a null text or a null id is a class of its own, with its id for class_id.
     * Texts without words are linked only to equal texts.  A text shorter than a shingle is one
       shingle.  Repeated rows share a class; is_representative is true for all rows of that id.

@@ -13,7 +13,8 @@ payload_bytes, payload.  Options:
 Equality, IN and prefix predicates on record_type, record_id, target_uri, refers_to and
 payload_digest are applied to the headers before anything else of the record is decoded, once
 ``register`` has allowed filters to be pushed down.  Spark still gets exact rows: a predicate that
-isn't understood is left to Spark.
+isn't understood is left to Spark.  Spark 4.1 keeps one set of pushed predicates for each loaded
+DataFrame: a query that filters an archive in two ways must load it twice, or both get the same rows.
 
 ``df.write.format("warc")`` takes page_id long, url, payload binary, digest, payload_bytes,
 record_type, refers_to long.  A task writes files under a temporary name; the commit renames those

@@ -97,6 +97,14 @@ def test_signatures_estimate_the_similarity():
     assert (sig[0] == sig[1]).mean() == pytest.approx(near_dedup.probability_jaccard(x, y), abs=0.03)
 
 
+def test_links_lost_before_verification_are_few():
+    """Of pairs at the threshold: none of the bands agrees, or the signatures agree too seldom."""
+    s = near_dedup.Settings()
+    assert (1 - s.similarity**s.rows) ** s.bands < 4.5e-4
+    low = math.ceil(s.least_agreement * s.slots - 1e-9)
+    assert low == 60 and sum(math.comb(s.slots, k) * s.similarity**k * (1 - s.similarity) ** (s.slots - k) for k in range(low)) < 1 / 500_000
+
+
 def test_components(spark):
     rng = random.Random(0)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

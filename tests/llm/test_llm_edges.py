@@ -42,6 +42,7 @@ def test_near_dedup(docs, nothing):
     assert len(got) == len(ROWS)
     classes = {(r["doc_id"], r["class_id"]) for r in got}
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (None, None)} <= classes
+    assert [r["class_id"] for r in got if r["doc_id"] == 9] == [9, 9]  # an id is one document
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
@@ -272,7 +273,27 @@ def test_pipeline_stages(spark, docs, nothing, benchmark, tmp_path, k):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     name, stage = corpus_pipeline.STAGES[k]
     got = stage(spark, docs, str(tmp_path))
-    assert got.count() >= (0 if name == "quality" else 1)
+    ids = sorted((r["doc_id"] for r in got.collect()), key=str)
+    every = [r[0] for r in ROWS]
+    if name == "quality":  # rows of one text together; what the labels call bad is gone, what they call good is there
+        scores = {(r["doc_id"], r["text"]): r["score"] for r in quality.score(docs, quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), "quality")).collect()}
+        assert ids == sorted((i for i, text, *_ in ROWS if scores[i, text] >= 0.7), key=str)
+        assert [i for i in ids if i in (1, 2)] == [1, 2, 2] and 9 not in ids
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "none/labels.parquet"))
+        assert stage(spark, docs, str(tmp_path / "none")).count() == len(ROWS)
+    elif name == "near_dedup":
+        assert ids == sorted([1, 3, 4, 5, 6, 7, 8, None, 9, 9, 10], key=str)
+    elif name == "decontaminate":
+        assert ids == sorted([3, 4, 5, 6, 7, 8, None, 9, 9, 10], key=str)
+        assert sorted(r["text"] or "" for r in got.collect()) == sorted(r[1] or "" for r in ROWS if r[1] != PROSE)
+        benchmark.limit(0).write.parquet(str(tmp_path / "none/benchmark.parquet"))
+        assert stage(spark, docs, str(tmp_path / "none")).count() == len(ROWS)
+    elif name == "mix":
+        want = {(r["doc_id"], r["source"], r["text"]): r["copies"] * every.count(r["doc_id"]) for r in mixing.mix(docs, keep=("text",)).collect()}
+        taken = [(r["doc_id"], r["source"], r["text"]) for r in got.collect()]
+        assert {x: taken.count(x) for x in set(taken)} == {x: sum(y["copies"] for y in mixing.mix(docs, keep=("text",)).collect() if (y["doc_id"], y["source"], y["text"]) == x) for x, n in want.items() if n}
+    else:
+        assert ids == sorted(every, key=str) and sorted(r["slot"] for r in got.collect()) == [0] * len(ROWS)  # fewer rows than shards
     if k < 4:
         assert tuple(got.columns) == corpus_pipeline.COLUMNS
     assert stage(spark, nothing, str(tmp_path)).count() == 0
