@@ -4,15 +4,16 @@ Vectors get one more component so that all have one length; the largest inner pr
 smallest distance.  A sample is cut into clusters of equal size by repeated balanced bisection, one
 list for ``list_size`` vectors; a large number of lists is fitted in two levels, the second cell by
 cell.  The centroids, brought to the vectors' length, are broadcast (``max_lists`` at most), with a
-neighbour graph that is searched in memory, best first.
+graph that is searched in memory, best first.  Its links go to the nearest centroids, which mostly
+lie in the same cell, and to some drawn at random, which lead from cell to cell.
 
 Every vector goes to the list of its nearest centroid; a vector near a boundary goes to further
 lists too, up to ``replicas``, where the centroid is at most ``1 + boundary`` times as far.  A query
 reads the lists of its ``least`` nearest centroids, and further ones as long as their distance is at
-most ``ratio`` times the nearest one's.  That ratio, and how many lists it can need, are measured on
-a sample when the index is fitted, so that ``recall`` of the sample's own neighbours would be found:
-few lists where vectors have clusters, and, as nothing less finds them, a share of all lists where
-vectors have none.
+most ``ratio`` times the nearest one's.  That ratio, and how many lists it can need, are measured
+when the index is fitted, by searches of the graph on rows that the lists weren't fitted on (unless
+the table is small), so that ``recall`` of their own neighbours would be found: few lists where
+vectors have clusters, and, as nothing less finds them, a share of all lists where they have none.
 
 Lists that lie beside each other form a shelf.  A shelf and its queries meet in blocks of bounded
 size, so a list that holds a third of all vectors is as many tasks; a block gives back the best of
@@ -36,7 +37,7 @@ from .store import limit_arrow_batches, written
 class Settings:
     top: int = 20
     list_size: int = 200  #: vectors of a list to aim at, before replicas
-    max_lists: int = 1 << 16  #: bounds what is broadcast: some 20 MB for 64 components; lists are longer beyond it
+    max_lists: int = 1 << 16  #: bounds what is broadcast: some 24 MB for 64 components; lists are longer beyond it
     sample_of_list: int = 64  #: vectors to fit on, for each list
     cell: int = 256  #: lists that one task fits
     replicas: int = 4
@@ -45,7 +46,8 @@ class Settings:
     recall: float = 0.97  #: of neighbours in a sample, to be found in the lists read
     measured: int = 8192  #: vectors of that sample
     asked: int = 256  #: of which so many are queries
-    degree: int = 16  #: of the centroid graph
+    degree: int = 16  #: links of a centroid to the nearest ones
+    far: int = 8  #: and to others, drawn at random
     beam: int = 96  #: candidates held while it is searched
     shelf: int = 16  #: lists compared together
     block: int = 16_384  #: vectors of a block
@@ -100,6 +102,14 @@ def centroid_graph(c: np.ndarray, degree: int, first: int = 0, last: int | None
     return np.hstack([near, np.where(ring < 0, at[:, None], ring)]).astype(np.int32)  # each neighbour once; the centroid itself fills up
 
 
+def with_far_links(near: np.ndarray, far: int, seed: int) -> np.ndarray:
+    """``near`` with links of each centroid to ``far`` others at random; each neighbour once, the centroid itself fills up."""
+    n = len(near)
+    out = np.sort(np.hstack([near, np.random.default_rng(seed).integers(0, n, (n, far), np.int32)]), axis=1)
+    again = np.hstack([np.zeros((n, 1), bool), out[:, 1:] == out[:, :-1]])
+    return np.where(again, np.arange(n, dtype=np.int32)[:, None], out)
+
+
 def search_graph(m: Model, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and squared distances of about the k nearest centroids of each row, nearest first: a best-first search of all rows at once."""
     n, lists = len(q), len(m.centroids)
@@ -163,7 +173,10 @@ def as_query(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def measured(m: Model, x: np.ndarray, s: Settings) -> Model:
-    """``m`` with the ratio and the number of lists that find ``s.recall`` of the neighbours among the rows of ``x``."""
+    """``m`` with the ratio and the number of lists that find ``s.recall`` of the neighbours among the rows of ``x``.
+
+    By exact distances first; both grow until a search of the graph finds as many.
+    """
     asks = np.random.default_rng(s.seed).permutation(len(x))[: s.asked]
     if len(x) <= s.top or len(m.centroids) <= s.least:
         return m
@@ -180,6 +193,13 @@ def measured(m: Model, x: np.ndarray, s: Settings) -> Model:
     flat = lists.reshape(len(asks), -1)
     ranks, ratios = (np.take_along_axis(v, flat, 1).reshape(lists.shape).min(2) for v in (rank, far / np.maximum(far.min(1, keepdims=True), 1e-30)))
     m.probes, m.ratio = int(np.quantile(ranks, s.recall)) + 1, float(np.quantile(ratios, 0.5 + s.recall / 2))
+    while m.probes < len(m.centroids):
+        read = np.zeros(far.shape, bool)
+        for k, own in enumerate(lists_of_queries(m, q, s)):
+            read[k, own] = True
+        if np.take_along_axis(read, flat, 1).reshape(lists.shape).any(2).mean() >= s.recall:
+            break
+        m.probes, m.ratio = min(m.probes + m.probes // 8 + 1, len(m.centroids)), m.ratio * 1.02
     return m
 
 
@@ -344,9 +364,10 @@ def fit(listed: DataFrame, n: int, longest: float, s: Settings) -> Model:
     lists = 1 << (max(1, min(s.max_lists, n // s.list_size)).bit_length() - 1)
     cells = max(1, lists // s.cell)
 
-    def sample(rows: int) -> DataFrame:
+    def sample(rows: int, last: bool = False) -> DataFrame:
         upto = min(2**63 - 1, int(-(2**63) + min(1.0, rows / max(n, 1)) * 2**64))
-        return listed.filter(F.xxhash64(F.lit(s.seed), "id") <= upto).select("id", "v")
+        key = F.xxhash64(F.lit(s.seed), "id")
+        return listed.filter((F.bitwise_not(key) if last else key) <= upto).select("id", "v")
 
     def cut(rows: pa.Table, parts: int) -> list[np.ndarray]:
         x = widened(_matrix(rows.column("v")), longest)[np.argsort(rows.column("id").to_numpy(), kind="stable")]
@@ -380,7 +401,7 @@ def fit(listed: DataFrame, n: int, longest: float, s: Settings) -> Model:
         c = np.array([np.frombuffer(r["c"], np.float32) for r in found])
     c = c * (longest / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)).astype(np.float32)
     entries = np.random.default_rng(s.seed).permutation(len(c))[: max(64, int(len(c) ** 0.5))]
-    m = Model(c, _graph(spark, c, s), entries, longest)
+    m = Model(c, with_far_links(_graph(spark, c, s), s.far, s.seed), entries, longest)
     if len(c) <= s.least:
         return m
     shared = spark.sparkContext.broadcast(m)
@@ -392,7 +413,7 @@ def fit(listed: DataFrame, n: int, longest: float, s: Settings) -> Model:
             out = measured(shared.value, _matrix(rows.column("v"))[np.argsort(rows.column("id").to_numpy(), kind="stable")], s)
             yield pa.RecordBatch.from_pydict({"probes": [out.probes], "ratio": [out.ratio]})
 
-    for r in sample(s.measured).repartition(1).mapInArrow(measure, "probes long, ratio double").collect():
+    for r in sample(s.measured, last=True).repartition(1).mapInArrow(measure, "probes long, ratio double").collect():
         m.probes, m.ratio = r["probes"], r["ratio"]
     return m
 

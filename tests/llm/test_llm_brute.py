@@ -456,6 +456,46 @@ def test_recall_of_nearest_with_lists_fitted_in_levels(spark):
     assert hit / (20 * 170) >= 0.9
 
 
+def cells_of_centroids(cells=16, each=64):
+    """Centroids that lie closer to those of their cell than to any other, as a fit in two levels leaves them."""
+    rng = np.random.default_rng(4)
+    c = np.repeat(rng.normal(size=(cells, 64)), each, 0) + rng.normal(size=(cells * each, 64)) * 0.6
+    return (c / np.linalg.norm(c, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_graph_leads_from_cell_to_cell():
+    c = cells_of_centroids()
+    near = ann.centroid_graph(c, 16)
+    assert (near[:, :16] // 64 == np.arange(len(c))[:, None] // 64).mean() > 0.99
+    graph = ann.with_far_links(near, 8, 0)
+    for k, row in enumerate(graph.tolist()):
+        others = [a for a in row if a != k]
+        assert len(others) == len(set(others)) and set(near[k].tolist()) - {k} <= set(others)
+    q = np.random.default_rng(5).normal(size=(200, 64)).astype(np.float32)
+    exact = np.argsort(ann.distances(q, c), axis=1)[:, :256]
+
+    def share(g):
+        got = ann.search_graph(ann.Model(c, g, np.arange(0, len(c), 16), 1.0), q, 256, 96)[0]
+        return np.mean([len(set(a) & set(b)) / 256 for a, b in zip(got.tolist(), exact.tolist(), strict=True)])
+
+    assert share(near) < 0.9
+    assert share(graph) >= 0.98
+
+
+def test_what_a_poor_graph_misses_is_made_up_by_more_lists():
+    """The number of lists is measured by searches of the graph, not by exact distances alone."""
+    v = np.random.default_rng(6).normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = cells_of_centroids()
+    c = np.hstack([c, np.zeros((len(c), 1), np.float32)])
+    s = ann.Settings(asked=64)
+    entries = np.arange(0, len(c), 16)
+    near = ann.centroid_graph(c, 16)
+    good = ann.measured(ann.Model(c, ann.with_far_links(near, 8, 0), entries, 1.0), v, s)
+    poor = ann.measured(ann.Model(c, near[:, :4], entries, 1.0), v, s)
+    assert good.probes < poor.probes
+
+
 def test_clustered_vectors_read_few_lists():
     """What is measured at fitting decides how much is read."""
     rng = np.random.default_rng(5)
