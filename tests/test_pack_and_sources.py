@@ -107,6 +107,38 @@ def test_a_pack_that_breaks_off_is_not_seen(spark, frames, tmp_path, monkeypatch
     assert P.complete_packs(spark, out) == [2, 3]  # the newest and the one before it
 
 
+@pytest.fixture(scope="module")
+def shared_folders(frames, tmp_path_factory):
+    """A pack of 21 shards a camera, of which 6 share a folder, and the same with a folder for each."""
+    many, few = (str(tmp_path_factory.mktemp(n)) for n in ("many", "few"))
+    P.pack_shards(frames, P.PackConfig(many, clip_length=8, clips_per_shard=1))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "MAX_FOLDERS", 4, raising=False)
+        P.pack_shards(frames, P.PackConfig(few, clip_length=8, clips_per_shard=1, num_workers=2))
+    return many, few
+
+
+def test_many_shards_share_folders(spark, shared_folders, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    many, few = shared_folders
+    count = lambda folder: len(list((Path(folder) / "pack=0" / "frames").glob("*=*")))
+    assert count(many) == 21 and count(few) == 4
+    read = lambda folder, camera, **k: sorted((r["position"], r["clip_index"], *map(bytes, r["clip"])) for r in P.Shards(spark, folder, camera).epoch(3, **k).collect())
+    for camera in ("left", "right"):
+        assert len(read(few, camera)) == 21 and read(few, camera) == read(many, camera)
+        for w in range(5):
+            assert read(few, camera, worker=w, workers=5) == read(many, camera, worker=w, workers=5)
+    assert P.load_manifest(spark, few)["stats"] == P.load_manifest(spark, many)["stats"]
+    assert [r["status"] for r in P.verify(spark, few).collect()] == ["ok"] * 42
+    broken = tmp_path / "broken"
+    shutil.copytree(few, broken)
+    shutil.rmtree(broken / "pack=0" / "frames" / "first_shard=6")
+    missing = {r["file"] for r in P.verify(spark, str(broken)).collect() if r["status"] == "missing"}
+    assert missing == {f"shard_{k:04d}_{c}.mp4" for k in range(6, 12) for c in ("left", "right")}
+
+
 def test_config():
     with pytest.raises(ValueError):
         P.PackConfig("x", codec="vp9")
