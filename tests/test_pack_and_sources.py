@@ -139,6 +139,24 @@ def test_many_shards_share_folders(spark, shared_folders, tmp_path):
     assert missing == {f"shard_{k:04d}_{c}.mp4" for k in range(6, 12) for c in ("left", "right")}
 
 
+def test_a_clip_reads_one_of_the_shared_folders(spark, shared_folders, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    many, few = shared_folders
+    of = lambda folder, k: [(r["shard_id"], r["clip_index"], r["shard_frame_idx"], bytes(r["data"])) for r in P.Shards(spark, folder, "right").clip(k).collect()]
+    for k in (0, 5, 6, 20):
+        assert len(of(few, k)) == 8 and of(few, k) == of(many, k)
+    torn = tmp_path / "torn"
+    shutil.copytree(few, torn)
+    s = P.Shards(spark, str(torn), "right")
+    assert sorted(s.clip(7).columns) == sorted(P.Shards(spark, many, "right").clip(7).columns)
+    for f in (torn / "pack=0" / "frames").glob("first_shard=*/*.parquet"):  # a scan that opens another folder fails
+        if f.parent.name != "first_shard=6":
+            f.write_bytes(b"no Parquet")
+    assert [r["shard_frame_idx"] for r in s.clip(7).collect()] == list(range(8))
+
+
 def test_config():
     with pytest.raises(ValueError):
         P.PackConfig("x", codec="vp9")
